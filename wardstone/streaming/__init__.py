@@ -1,0 +1 @@
+"""Nothing here on purpose: every input of this engine is a complete table, there is no stream to read."""
