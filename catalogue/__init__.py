@@ -1 +1,12 @@
 """Queries over the given tables, each with an independent SQL statement of the same result."""
+
+from catalogue import cohort_queries, feature_queries  # noqa: F401
+from catalogue.registry import QUERIES, SQL
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_sql():
+    return dict(SQL)

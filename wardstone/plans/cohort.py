@@ -9,22 +9,23 @@ events on the stay. Every feature table leaves one aggregation keyed by the stay
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardstone.functions import (
     age_at, any_of, burden, combined_label, days_between, died_between, died_within, either_label, encode, level_band,
-    night_flag, round_half_away, safe_ratio, threshold_flags,
+    night_flag, safe_ratio, threshold_flags,
 )
 from wardstone.operators.assemble import assemble, attrition, cohort, row_counts, zero_fill
 from wardstone.operators.assessment import assessment_summary, assessment_times
+from wardstone.operators.balance import balance, with_net
 from wardstone.operators.codesets import code_flags, spread_to_entities
+from wardstone.operators.profile import item_report, items_listed  # noqa: F401
 from wardstone.operators.rules import FeatureRule
 from wardstone.operators.scores import ordinal_scores, sum_of_parts
 from wardstone.operators.sequence import entity_sequence, ever_flag
-from wardstone.operators.windowed import windowed_features
-from wardstone.operators.balance import with_net
+from wardstone.operators.windowed import windowed_features, within_window
 from wardstone.plans import rulebook as rules
 
 TABLES = (
@@ -67,7 +68,7 @@ def assessment_features(tables, options: Options = Options()) -> DataFrame:
     times = assessment_times(
         tables["chartevents"], entity="stay_id", item="itemid", time="charttime", text="value",
         gate_items=rules.CAM_GATE_ITEMS, all_items=rules.CAM_ITEMS, classes=rules.CAM_CLASSES,
-        extra={"gcs": F.min(F.when(in_range, F.col("valuenum")))}, extra_items=rules.GCS_FIRST,
+        extra={"gcs": F.min(F.when(in_range, F.col("valuenum")))}, extra_rows=in_range,
     )
     out = assessment_summary(
         times, anchors(tables), entity="stay_id", time="charttime", anchor_time="intime",
@@ -131,6 +132,40 @@ def output_features(tables) -> DataFrame:
     )
 
 
+def fluid_balance(tables) -> DataFrame:
+    """Volumes in and out of the first day, for stays with either."""
+    stays = anchors(tables).drop("hadm_id")
+    come = within_window(
+        tables["inputevents"].where(_is_volume()).select("stay_id", "starttime", "amount"), stays, "stay_id",
+        "starttime", "intime", *rules.DAY_ONE,
+    )
+    gone = within_window(
+        tables["outputevents"].select("stay_id", "charttime", "value"), stays, "stay_id", "charttime", "intime",
+        *rules.DAY_ONE,
+    )
+    return balance(
+        come, gone, entity="stay_id", gain="amount", loss="value", threshold=rules.HIGH_BALANCE_ML,
+        names=("fluid_input_24h", "fluid_output_24h", "fluid_balance_24h", "positive_fluid_balance"),
+    )
+
+
+def organ_failure_scores(tables) -> DataFrame:
+    """The six component scores and their sum, a row for every stay."""
+    parts = [chart_features(tables), lab_features(tables), input_features(tables), output_features(tables)]
+    wide = assemble(anchors(tables).select("stay_id"), parts, "stay_id")
+    scored = ordinal_scores(score_inputs(wide), rules.SCORES, "sofa_total")
+    return scored.select("stay_id", *[r.name for r in rules.SCORES], "sofa_total")
+
+
+def pain_scores(tables) -> DataFrame:
+    wanted = [r for r in rules.CHART_FEATURES if r.name.startswith("pain_")]
+    pain = windowed_features(
+        tables["chartevents"], anchors(tables).drop("hadm_id"), wanted, on="stay_id", entity="stay_id",
+        time="charttime", anchor_time="intime", item="itemid", value="valuenum",
+    )
+    return pain.withColumns(threshold_flags([r for r in rules.THRESHOLDS if r.flag == "severe_pain"]))
+
+
 def procedure_features(tables) -> DataFrame:
     return ever_flag(tables["procedureevents"], "stay_id", "mechanical_vent", F.col("itemid").isin(*rules.VENTILATION))
 

@@ -50,3 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def local_session(cpus: str = "8", app: str = "wardstone") -> SparkSession:
+    """A session for tests and benchmarks on one machine; a cluster brings its own."""
+    spark = (
+        SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
