@@ -1,6 +1,8 @@
 """Queries over the given tables, each with an independent SQL statement of the same result."""
 
-from catalogue import cohort_queries, feature_queries  # noqa: F401
+from catalogue import (  # noqa: F401
+    cohort_queries, evaluation_queries, feature_queries, model_queries, prep_queries,
+)
 from catalogue.registry import QUERIES, SQL
 
 
