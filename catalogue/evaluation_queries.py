@@ -161,9 +161,8 @@ def _percentiles(t: Tables):
     lines = t("lineitem")
     edges = exact_quantiles(lines, ["l_discount"], (0.025, 0.975))
     pick = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-    return edges.agg(pick(0.025).alias("lo"), pick(0.975).alias("hi")).join(
-        lines.agg(F.count("l_discount").alias("n")), F.lit(True)
-    ).select("n", "lo", "hi")
+    n = lines.agg(F.count("l_discount")).first()[0]
+    return edges.agg(F.lit(n).alias("n"), pick(0.025).alias("lo"), pick(0.975).alias("hi"))
 
 
 COEFS = {"l_quantity": 0.25, "l_discount": -8.0, "l_tax": 4.0}

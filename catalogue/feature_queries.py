@@ -390,11 +390,10 @@ def _dots(t: Tables):
 )
 def _text_classes(t: Tables):
     said = (TextClass("positive", ("yes",)), TextClass("negative", ("no",)), TextClass("unable", ("unable", "language", "barrier")))
-    text = F.col("text")
-    code = F.when(encode(text, (TextClass(1, ("The", "And")),), 0) == 1, 1).otherwise(
-        encode(F.col("lang"), (TextClass(2, equals=("fr",)),), 5)
+    code = F.when(encode("text", (TextClass(1, ("The", "And")),), 0) == 1, 1).otherwise(
+        encode("lang", (TextClass(2, equals=("fr",)),), 5)
     )
-    return t("documents").select("doc_id", class_column(text, said, "other", fold_case=True).alias("said"), code.alias("code"))
+    return t("documents").select("doc_id", class_column("text", said, "other", fold_case=True).alias("said"), code.alias("code"))
 
 
 PRICE_SCORES = (
@@ -498,7 +497,7 @@ def _after(t: Tables):
 )
 def _rounding(t: Tables):
     value = F.col("value")
-    rule = FeatureRule("common_unit_max", "max", ("view", "click"), convert={"view": lambda v: v * 9.0 / 5.0 + 32})
+    rule = FeatureRule("common_unit_max", "max", ("view", "click"), convert={"view": "{v} * 9.0D / 5.0D + 32"})
     units = windowed_features(t("events"), None, [rule], entity="user_id", item="event_type", value="value")
     sums = t("events").groupBy("user_id").agg(
         round_half_away(F.avg(value), 1).alias("mean_1"), round_half_away(F.stddev_samp(value), 2).alias("sd_2"),

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardstone.functions import sqltext
+
 
 def assemble(base: DataFrame, features: Sequence[DataFrame], key: str) -> DataFrame:
     """Left-join feature tables, each unique on ``key``, onto the base.
@@ -19,7 +21,7 @@ def assemble(base: DataFrame, features: Sequence[DataFrame], key: str) -> DataFr
 
 
 def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})
+    return df.withColumns({c: sqltext.column(f"coalesce({sqltext.name(c)}, 0)") for c in columns})
 
 
 def require_unique(df: DataFrame, key: str) -> DataFrame:

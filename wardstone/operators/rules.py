@@ -1,32 +1,20 @@
-"""Rule tables: plain data that the operators compile to column expressions."""
+"""Rule tables: plain data that the operators spell as Spark SQL expressions."""
 
 from __future__ import annotations
 
-import operator
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
-
-_COMPARE = {
-    "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq,
-}
-
-
-def compare(column: Column, op: str, cut) -> Column:
-    return _COMPARE[op](column, cut)
-
-
 @dataclass(frozen=True)
 class FeatureRule:
     """One output column of a windowed pivot.
 
     ``agg`` is one of max, min, avg, sum, stddev, count, any. ``items`` are the item ids that feed the feature,
     ``window`` is ``(from, to)`` in hours after the anchor (``None`` for all rows of the entity), ``valid`` a closed
-    range of plausible values, ``where`` a further test ``(op, cut)`` on the value or a function of the joined row's
-    columns, ``convert`` maps item ids to a function that brings their values to the common unit, ``digits`` rounds
-    the result, ``none_if_empty`` turns a count of zero into NULL.
+    range of plausible values, ``where`` a further test ``(op, cut)`` on the value or SQL text over the event's columns,
+    ``convert`` maps item ids to SQL text that brings their value ``{v}`` to the common unit, ``digits`` rounds the
+    result, ``none_if_empty`` turns a count of zero into NULL.
     """
 
     name: str
@@ -34,8 +22,8 @@ class FeatureRule:
     items: tuple = ()
     window: tuple[float | None, float | None] | None = None
     valid: tuple[float, float] | None = None
-    where: tuple[str, float] | Callable[[], Column] | None = None
-    convert: Mapping[Any, Callable[[Column], Column]] = field(default_factory=dict)
+    where: tuple[str, float] | str | None = None
+    convert: Mapping[Any, str] = field(default_factory=dict)
     digits: int | None = None
     none_if_empty: bool = False
 

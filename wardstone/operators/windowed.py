@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardstone.functions import sqltext
 from wardstone.functions.numbers import round_half_away
+from wardstone.functions.sqltext import literal, name
 from wardstone.functions.timeops import in_window
-from wardstone.operators.rules import FeatureRule, compare
+from wardstone.operators.rules import FeatureRule
+
+AGGREGATES = {"max": "max", "min": "min", "avg": "avg", "sum": "sum", "stddev": "stddev_samp"}
 
 
 def within_window(
@@ -35,43 +38,37 @@ def _hull(rules: Sequence[FeatureRule]) -> tuple[float | None, float | None] | N
     return (None if None in lows else min(lows), None if None in highs else max(highs))
 
 
-def _measure(rule: FeatureRule, item: str | None, value: str | None) -> Column:
+def _measure(rule: FeatureRule, item: str | None, value: str | None) -> str:
     if not rule.convert:
-        return F.col(value)
-    chain = F
-    for member in rule.items:
-        fix = rule.convert.get(member)
-        chain = chain.when(F.col(item) == member, fix(F.col(value)) if fix else F.col(value))
-    return chain.otherwise(F.lit(None))
+        return name(value)
+    said = [(m, rule.convert.get(m, "{v}").format(v=name(value))) for m in rule.items]
+    return f"CASE {name(item)} " + " ".join(f"WHEN {literal(m)} THEN {text}" for m, text in said) + " END"
 
 
-def _column(rule: FeatureRule, item: str | None, value: str | None, windows: dict) -> Column:
-    tests: list[Column] = []
+def _feature(rule: FeatureRule, item: str | None, value: str | None, windows: dict) -> Column:
+    tests = []
     if rule.items:
-        tests.append(F.col(item) == rule.items[0] if len(rule.items) == 1 else F.col(item).isin(*rule.items))
+        tests.append(sqltext.member(name(item), rule.items))
     if rule.window in windows:
-        tests.append(F.col(windows[rule.window]))
+        tests.append(windows[rule.window])
     if rule.valid:
-        tests.append(F.col(value).between(*rule.valid))
-    if callable(rule.where):
-        tests.append(rule.where())
+        tests.append(f"{name(value)} BETWEEN {literal(rule.valid[0])} AND {literal(rule.valid[1])}")
+    if isinstance(rule.where, str):
+        tests.append(rule.where)
     elif rule.where:
-        tests.append(compare(F.col(value), *rule.where))
-    test = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+        tests.append(f"{name(value)} {rule.where[0]} {literal(rule.where[1])}")
+    test = sqltext.every(tests)
 
     if rule.agg == "any":
-        return F.max(F.when(test, 1).otherwise(0)).alias(rule.name)
+        return sqltext.column(f"max({sqltext.flag(test)})", rule.name)
     if rule.agg == "count":
-        out = F.sum(F.when(test, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-        return (F.nullif(out, F.lit(0)) if rule.none_if_empty else out).alias(rule.name)
-    measured = _measure(rule, item, value)
-    picked = F.when(test, measured) if tests else measured
-    out = {
-        "max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum, "stddev": F.stddev_samp,
-    }[rule.agg](picked)
-    if rule.digits is not None:
-        out = round_half_away(out, rule.digits)
-    return out.alias(rule.name)
+        text = f"count(CASE WHEN {test} THEN 1 END)"
+        return sqltext.column(f"nullif({text}, 0L)" if rule.none_if_empty else text, rule.name)
+    picked = _measure(rule, item, value)
+    if tests:
+        picked = f"CASE WHEN {test} THEN {picked} END"
+    out = sqltext.column(f"{AGGREGATES[rule.agg]}({picked})")
+    return (out if rule.digits is None else round_half_away(out, rule.digits)).alias(rule.name)
 
 
 def windowed_features(
@@ -92,17 +89,17 @@ def windowed_features(
     The item lists of all rules become one ``IN`` filter at the scan, only the columns the rules use are read, the
     window test is part of the join, and all rules share one partial and one final aggregation.
     ``on`` may be coarser than ``entity``; an event then counts for every anchor whose window holds it.
-    ``carry`` names further event columns that ``where`` functions look at.
+    ``carry`` names further event columns that ``where`` texts look at.
     """
     if item and all(r.items for r in rules):
         wanted = sorted({i for r in rules for i in r.items})
-        events = events.where(F.col(item).isin(*wanted))
+        events = events.where(sqltext.member(name(item), wanted))
     columns = [c for c in dict.fromkeys([on or entity, item, time, value, *carry]) if c]
     events = events.select(*columns)
     if value and all(r.agg not in ("any", "count") or r.valid for r in rules):
         events = events.where(F.col(value).isNotNull())
     if anchors is None:
-        return events.groupBy(entity).agg(*[_column(r, item, value, {}) for r in rules])
+        return events.groupBy(entity).agg(*[_feature(r, item, value, {}) for r in rules])
 
     hull = _hull(rules)
     joined = within_window(events, anchors, on, time, anchor_time, *(hull or (None, None)))
@@ -115,17 +112,17 @@ def windowed_features(
             )
     if flags:
         # Rows outside the window of every rule that reads their item need not reach the aggregation.
-        joined = joined.where(reduce(lambda a, b: a | b, [_reached(rules, w, item, flags) for w in windows_of(rules)]))
-    return joined.groupBy(entity).agg(*[_column(r, item, value, flags) for r in rules])
+        joined = joined.where(sqltext.either([_reached(rules, w, item, flags) for w in windows_of(rules)]))
+    return joined.groupBy(entity).agg(*[_feature(r, item, value, flags) for r in rules])
 
 
 def windows_of(rules: Sequence[FeatureRule]) -> list:
     return list(dict.fromkeys(r.window for r in rules))
 
 
-def _reached(rules: Sequence[FeatureRule], window, item: str | None, flags: dict) -> Column:
+def _reached(rules: Sequence[FeatureRule], window, item: str | None, flags: dict) -> str:
     members = [r for r in rules if r.window == window]
-    test = F.col(flags[window]) if window in flags else F.lit(True)
+    tests = [flags[window]] if window in flags else []
     if item and all(r.items for r in members):
-        test = test & F.col(item).isin(*sorted({i for r in members for i in r.items}))
-    return test
+        tests.append(sqltext.member(name(item), sorted({i for r in members for i in r.items})))
+    return sqltext.every(tests)

@@ -17,6 +17,7 @@ from wardstone.functions import (
     age_at, any_of, burden, combined_label, days_between, died_between, died_within, either_label, encode, level_band,
     night_flag, safe_ratio, threshold_flags,
 )
+from wardstone.functions import sqltext
 from wardstone.operators.assemble import assemble, attrition, cohort, row_counts, zero_fill
 from wardstone.operators.assessment import assessment_summary, assessment_times
 from wardstone.operators.balance import balance, with_net
@@ -103,16 +104,15 @@ def lab_features(tables) -> DataFrame:
     )
 
 
-def _is_volume() -> Column:
-    return F.col("amountuom").isin(*rules.VOLUME_UNITS)
+IS_VOLUME = sqltext.member("amountuom", rules.VOLUME_UNITS)
 
 
 def input_features(tables) -> DataFrame:
     wanted = (
         *rules.MEDICATION_FEATURES,
         *rules.SCORE_DRUG_FEATURES,
-        FeatureRule("input_ml", "sum", where=_is_volume, window=rules.DAY_ONE),
-        FeatureRule("n_inputs", "count", where=_is_volume, window=rules.DAY_ONE),
+        FeatureRule("input_ml", "sum", where=IS_VOLUME, window=rules.DAY_ONE),
+        FeatureRule("n_inputs", "count", where=IS_VOLUME, window=rules.DAY_ONE),
     )
     return windowed_features(
         tables["inputevents"], anchors(tables).drop("hadm_id"), wanted, on="stay_id", entity="stay_id",
@@ -136,7 +136,7 @@ def fluid_balance(tables) -> DataFrame:
     """Volumes in and out of the first day, for stays with either."""
     stays = anchors(tables).drop("hadm_id")
     come = within_window(
-        tables["inputevents"].where(_is_volume()).select("stay_id", "starttime", "amount"), stays, "stay_id",
+        tables["inputevents"].where(IS_VOLUME).select("stay_id", "starttime", "amount"), stays, "stay_id",
         "starttime", "intime", *rules.DAY_ONE,
     )
     gone = within_window(
@@ -207,13 +207,13 @@ def stay_table(tables) -> DataFrame:
         days_between(F.col("admittime"), discharge).alias("hospital_los_days"),
         age.alias("age"),
         level_band(age, rules.AGE_CUTS).alias("age_group"),
-        encode(F.col("gender"), *rules.FEMALE).alias("female"),
-        encode(F.col("race"), *rules.RACE).alias("race_coded"),
-        encode(F.col("insurance"), *rules.INSURANCE).alias("insurance_coded"),
-        encode(F.col("marital_status"), *rules.MARITAL).alias("marital_coded"),
-        encode(F.col("language"), *rules.ENGLISH).alias("english_speaker"),
-        encode(F.col("first_careunit"), *rules.UNIT_TYPE).alias("icu_type"),
-        encode(F.col("admission_type"), *rules.URGENCY).alias("admission_urgency"),
+        encode("gender", *rules.FEMALE).alias("female"),
+        encode("race", *rules.RACE).alias("race_coded"),
+        encode("insurance", *rules.INSURANCE).alias("insurance_coded"),
+        encode("marital_status", *rules.MARITAL).alias("marital_coded"),
+        encode("language", *rules.ENGLISH).alias("english_speaker"),
+        encode("first_careunit", *rules.UNIT_TYPE).alias("icu_type"),
+        encode("admission_type", *rules.URGENCY).alias("admission_urgency"),
         night_flag(intime).alias("nighttime_admission"),
     )
 

@@ -26,8 +26,7 @@ SPO2, RESP_RATE, TEMPERATURE, CELSIUS = (220277,), (220210,), (223761, 223762),
 GCS_PARTS = (("gcs_eye_min", (220739,), 4), ("gcs_verbal_min", (223900,), 5), ("gcs_motor_min", (223901,), 6))
 
 
-def to_fahrenheit(celsius):
-    return celsius * 9.0 / 5.0 + 32
+TO_FAHRENHEIT = "{v} * 9.0D / 5.0D + 32"
 
 
 _RASS = {"items": RASS, "valid": (-5, 4)}
@@ -54,8 +53,8 @@ CHART_FEATURES = (
     FeatureRule("spo2_max", "max", SPO2, **_DAY),
     FeatureRule("rr_mean", "avg", RESP_RATE, digits=1, **_DAY),
     FeatureRule("rr_max", "max", RESP_RATE, **_DAY),
-    FeatureRule("temp_f_mean", "avg", TEMPERATURE, digits=1, convert={CELSIUS: to_fahrenheit}, **_DAY),
-    FeatureRule("temp_f_max", "max", TEMPERATURE, convert={CELSIUS: to_fahrenheit}, **_DAY),
+    FeatureRule("temp_f_mean", "avg", TEMPERATURE, digits=1, convert={CELSIUS: TO_FAHRENHEIT}, **_DAY),
+    FeatureRule("temp_f_max", "max", TEMPERATURE, convert={CELSIUS: TO_FAHRENHEIT}, **_DAY),
     FeatureRule("fio2_min", "min", FIO2, **_DAY),
     *[FeatureRule(name, "min", items, **_DAY) for name, items, _ in GCS_PARTS],
     FeatureRule("pain_max_24h", "max", PAIN, **_DAY),
