@@ -9,7 +9,9 @@ MICROS_PER_DAY = 8.64e10
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Microseconds from ``start`` to ``end`` on the wall clock, in any session time zone."""
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("long")
 
 
 def hours_between(start: Column, end: Column) -> Column:

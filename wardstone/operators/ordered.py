@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "_bucket"
+CELL = "_cell"
 PER_PART = 250_000
 
 
@@ -30,26 +31,26 @@ def running_totals(
     ``order`` must be unique within the key. ``descending`` says that the buckets run down along ``order``.
     NULL is a key like any other.
     """
+    # One struct of key and bucket is the partitioning of the window and of the join, so rows move once; unlike its
+    # fields it is never NULL, and structs with NULL fields are equal.
     keys = list(keys)
-    placed = df.withColumn(BUCKET, bucket)
-
-    totals = placed.groupBy(*keys, BUCKET).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    along = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    earlier = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    placed = df.withColumn(BUCKET, bucket).withColumn(CELL, F.struct(*keys, BUCKET))
+
+    totals = placed.groupBy(CELL).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    key = [F.col(f"{CELL}.{k}") for k in keys]
+    place = F.col(f"{CELL}.{BUCKET}")
+    earlier = Window.partitionBy(*key).orderBy(place.desc() if descending else place.asc())
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(BUCKET).alias("_k_bucket"),
+        CELL,
         *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values],
         *[F.sum(f"_t_{v}").over(whole).alias(f"{v}_all") for v in values],
     )
 
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
-    on = F.col(BUCKET).eqNullSafe(F.col("_k_bucket"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return local.join(offsets, on, "left").select(
+    return local.join(offsets, CELL).select(
         *df.columns,
         *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).alias(f"{v}_upto") for v in values],
         *[f"{v}_all" for v in values],
