@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalogue import clinical
 from catalogue.registry import Tables, query
 from wardstone.operators import evaluate, explain, models, prep
+from wardstone.plans import cohort as cohort_plan, modelling, rulebook as rules
 from wardstone.session import cut_lineage
 
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "punct_share", "word_length", "is_en", "is_fr", "is_de", "src0", "src1"]
@@ -127,3 +129,36 @@ def _top(t: Tables):
     model, _, _ = _boosted(matrix)
     parts = explain.tree_attribution(model, matrix.where("is_test = 1"), "raw", fitted.columns, "doc_id")
     return explain.attribution_ranking(parts, 20)
+
+
+# Few penalties and rounds: these show the study end to end, the defaults of Settings are the study's own numbers.
+SHORT = modelling.Settings(
+    penalties=(0.05,), folds=2, max_iter=30, rounds=6, cv_rounds=3, depth=3, rate=0.3, patience=3, replicates=200,
+)
+
+
+def _cohort(t: Tables):
+    return cut_lineage(cohort_plan.cohort_table(clinical.stored(t)))
+
+
+def _study(t: Tables, **options):
+    table = _cohort(t)
+    features = cohort_plan.feature_names(table.columns, rules.SPARSE_REVISED)
+    return table, modelling.fit_and_evaluate(table, "stay_id", rules.TARGET, features, settings=SHORT, **options)
+
+
+@query("cohort_risk_summary")
+def _risk(t: Tables):
+    """The whole study on the cohort, then the frozen pipeline on all adult stays."""
+    _, outcome = _study(t, masks=modelling.study_masks())
+    everyone = cohort_plan.cohort_table(clinical.stored(t), cohort_plan.Options(first_stay_only=False))
+    second = modelling.evaluate_second_cohort(outcome.model, everyone, rules.TARGET, "all adult stays")
+    first = outcome.results["summary"]
+    return first.unionByName(second, allowMissingColumns=True)
+
+
+@query("temporal_validation_subgroups")
+def _temporal(t: Tables):
+    """Train on the earlier year groups, test on the later ones, by race."""
+    _, outcome = _study(t, masks=modelling.race_masks(), is_test=modelling.is_after("anchor_year_group"))
+    return outcome.results["subgroups"]

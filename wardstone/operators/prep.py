@@ -60,10 +60,14 @@ def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = 42,
     return out.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
+def group_end(year_group: str) -> Column:
+    """Last year of a group written ``from - to``."""
+    return F.regexp_extract(F.col(year_group), r"(\d{4})\s*$", 1).cast("int")
+
+
 def temporal_split(df: DataFrame, year_group: str, last_train_year: int, name: str = "is_test") -> DataFrame:
     """Split on a year group written ``from - to``: 1 if the group ends after ``last_train_year``."""
-    last = F.regexp_extract(F.col(year_group), r"(\d{4})\s*$", 1).cast("int")
-    return df.withColumn(name, F.when(last > last_train_year, 1).otherwise(0))
+    return df.withColumn(name, F.when(group_end(year_group) > last_train_year, 1).otherwise(0))
 
 
 def column_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
