@@ -44,7 +44,7 @@ _GRID = (0.01, 0.1, 1.0)
 def _path(matrix, fitted):
     train = matrix.where("is_test = 0")
     n = train.count()
-    return models.l1_path(train, "scaled", "fold", grid=[(c, 1 / (c * n)) for c in _GRID], k=3, max_iter=100)
+    return models.l1_path(train, "scaled", "fold", grid=[(c, 1 / (c * n)) for c in _GRID], k=3, max_iter=20, parallelism=8)
 
 
 @query("l1_path")
@@ -65,7 +65,7 @@ def _selected(t: Tables):
     path = _path(matrix, fitted)
     names = models.selected_features(path.model, fitted.columns)
     chosen = prep.slice_features(matrix, "scaled", names, "chosen")
-    model = models.lasso("chosen", path.best_lambda, max_iter=100).fit(chosen.where("is_test = 0"))
+    model = models.lasso("chosen", path.best_lambda, max_iter=20).fit(chosen.where("is_test = 0"))
     return models.score(model, chosen.where("is_test = 1"), "probability_lr").select("doc_id", "label", "probability_lr")
 
 
@@ -73,7 +73,7 @@ def _boosted(matrix, rounds: int = 12):
     train = matrix.where("is_test = 0")
     ratio = train.agg(F.count_if(F.col("label") == 0) / F.greatest(F.count_if(F.col("label") == 1), F.lit(1))).first()[0]
     weighted = cut_lineage(
-        prep.stratified_split(prep.class_weights(train, "label", ratio), "label", "doc_id", 0.2, "42-cal", name="is_cal")
+        prep.stratified_split(prep.class_weights(train, "label", ratio), "label", "doc_id", 0.2, "42-cal", flag="is_cal")
     )
     estimator = models.boosted("raw", rounds=rounds, depth=3, rate=0.3, weight="weight")
     fit, hold = weighted.where("is_cal = 0"), weighted.where("is_cal = 1")
@@ -101,7 +101,7 @@ def _calibrated(t: Tables):
 def _cv(t: Tables):
     matrix, _ = prepared(t)
     train = matrix.where("is_test = 0")
-    mean, sd = models.cross_validated_auroc(models.lasso("scaled", 0.01, max_iter=50), train, "fold", k=3)
+    mean, sd = models.cross_validated_auroc(models.lasso("scaled", 0.01, max_iter=20), train, "fold", k=3)
     return train.groupBy().agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(mean).alias("cv_mean"), F.lit(sd).alias("cv_sd"))
 
 
@@ -109,7 +109,7 @@ def _cv(t: Tables):
 def _second(t: Tables):
     """A frozen pipeline on all documents, which lack one of the features it was fitted with."""
     matrix, fitted = prepared(t)
-    model = models.lasso("scaled", 0.01, max_iter=50).fit(matrix.where("is_test = 0"))
+    model = models.lasso("scaled", 0.01, max_iter=20).fit(matrix.where("is_test = 0"))
     wide = text_features(t).drop("src1")
     second, _ = prep.reconcile(wide, FEATURES, keep=["doc_id", "label"])
     scored = models.score(model, fitted.matrix(second, ["doc_id", "label"]), "probability_lr")
@@ -133,7 +133,7 @@ def _top(t: Tables):
 
 # Few penalties and rounds: these show the study end to end, the defaults of Settings are the study's own numbers.
 SHORT = modelling.Settings(
-    penalties=(0.05,), folds=2, max_iter=30, rounds=6, cv_rounds=3, depth=3, rate=0.3, patience=3, replicates=200,
+    penalties=(0.05,), folds=2, max_iter=15, rounds=6, cv_rounds=3, depth=3, rate=0.3, patience=3, replicates=200,
 )
 
 
@@ -153,7 +153,7 @@ def _risk(t: Tables):
     _, outcome = _study(t, masks=modelling.study_masks())
     everyone = cohort_plan.cohort_table(clinical.stored(t), cohort_plan.Options(first_stay_only=False))
     second = modelling.evaluate_second_cohort(outcome.model, everyone, rules.TARGET, "all adult stays")
-    first = outcome.results["summary"]
+    first = outcome.results["summary"]()
     return first.unionByName(second, allowMissingColumns=True)
 
 
@@ -161,4 +161,4 @@ def _risk(t: Tables):
 def _temporal(t: Tables):
     """Train on the earlier year groups, test on the later ones, by race."""
     _, outcome = _study(t, masks=modelling.race_masks(), is_test=modelling.is_after("anchor_year_group"))
-    return outcome.results["subgroups"]
+    return outcome.results["subgroups"]()

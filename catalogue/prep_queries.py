@@ -178,7 +178,7 @@ def _split(t: Tables):
 def _nested(t: Tables):
     orders = t("orders").select("o_orderkey", "o_orderstatus")
     train = prep.stratified_split(orders, "o_orderstatus", "o_orderkey", 0.2, 42).where("is_test = 0").drop("is_test")
-    return prep.stratified_split(train, "o_orderstatus", "o_orderkey", 0.2, "42-calibration", name="is_calibration")
+    return prep.stratified_split(train, "o_orderstatus", "o_orderkey", 0.2, "42-calibration", flag="is_calibration")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.sql import Column, functions as F
 
@@ -18,7 +19,9 @@ def literal(value) -> str:
         return "TRUE" if value else "FALSE"
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{value!r}D" if isinstance(value, float) else str(int(value))
+    if isinstance(value, float):
+        return f"{value!r}D" if isfinite(value) else f"double('{value}')"
+    return str(int(value))
 
 
 def member(expression: str, values: Sequence) -> str:

@@ -71,8 +71,8 @@ def split_points(df: DataFrame, column: str, per_part: int = PER_PART, most: int
     Runs one job over the distinct values; what comes back to the driver is bounded by ``most``.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct()
-    grid = [i / most for i in range(1, most)]
-    found = values.agg(F.count("v").alias("n"), F.percentile_approx("v", grid, 10_000).alias("at")).first()
+    grid = ", ".join(f"{i / most}D" for i in range(1, most))
+    found = values.agg(F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({grid}), 10000)").alias("at")).first()
     parts = min(most, -(-found["n"] // per_part))
     if parts < 2:
         return []

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardstone.functions import sqltext
+from wardstone.functions.sqltext import literal, name
 from wardstone.operators.ordered import ranked
 from wardstone.operators.quantiles import exact_quantiles
 
@@ -38,9 +40,9 @@ def quotas(sizes: Mapping, fraction: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int | str = 42, name: str = "is_test", digits: int = 3
+    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int | str = 42, flag: str = "is_test", digits: int = 3
 ) -> DataFrame:
-    """Mark an exact share of each label: ``name`` is 1 for the held-out rows.
+    """Mark an exact share of each label: ``flag`` is 1 for the held-out rows.
 
     Reads the label counts first (one row per label); the quotas then are constants of the plan.
     """
@@ -51,13 +53,13 @@ def stratified_split(
         test = F.col(label).isNull() if value is None else F.col(label) == value
         chain = chain.when(test, F.lit(quota))
     out = _shuffled_rank(df, label, key, seed, digits)
-    return out.withColumn(name, F.when(F.col("_rank") <= chain.otherwise(F.lit(0)), 1).otherwise(0)).drop("_rank", "_size")
+    return out.withColumn(flag, F.when(F.col("_rank") <= chain.otherwise(F.lit(0)), 1).otherwise(0)).drop("_rank", "_size")
 
 
-def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = 42, name: str = "fold", digits: int = 3) -> DataFrame:
+def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = 42, fold: str = "fold", digits: int = 3) -> DataFrame:
     """Number ``k`` stratified folds 0..k-1 of equal size, up to one row per label."""
     out = _shuffled_rank(df, label, key, seed, digits)
-    return out.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
+    return out.withColumn(fold, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
 def group_end(year_group: str) -> Column:
@@ -65,15 +67,18 @@ def group_end(year_group: str) -> Column:
     return F.regexp_extract(F.col(year_group), r"(\d{4})\s*$", 1).cast("int")
 
 
-def temporal_split(df: DataFrame, year_group: str, last_train_year: int, name: str = "is_test") -> DataFrame:
+def temporal_split(df: DataFrame, year_group: str, last_train_year: int, flag: str = "is_test") -> DataFrame:
     """Split on a year group written ``from - to``: 1 if the group ends after ``last_train_year``."""
-    return df.withColumn(name, F.when(group_end(year_group) > last_train_year, 1).otherwise(0))
+    return df.withColumn(flag, F.when(group_end(year_group) > last_train_year, 1).otherwise(0))
 
 
 def column_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
     """(continuous, binary): binary columns hold nothing but 0, 1 and NULL. One aggregation, one row back."""
     found = df.agg(
-        *[F.max(F.when(~F.col(c).cast("double").isin(0.0, 1.0), 1)).alias(f"_{i}") for i, c in enumerate(columns)]
+        *[
+            sqltext.column(f"max(CASE WHEN CAST({name(c)} AS DOUBLE) NOT IN (0D, 1D) THEN 1 END)", f"_{i}")
+            for i, c in enumerate(columns)
+        ]
     ).first()
     binary = [c for i, c in enumerate(columns) if found[i] is None]
     return [c for c in columns if c not in set(binary)], binary
@@ -82,12 +87,12 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list
 def reconcile(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """The wanted columns as doubles, zero where the table lacks them, and the names that were lacking."""
     lacking = [c for c in columns if c not in df.columns]
-    picked = [F.lit(0.0).alias(c) if c in lacking else F.col(c).cast("double").alias(c) for c in columns]
-    return df.select(*keep, *picked), lacking
+    picked = [f"{'0D' if c in lacking else f'CAST({name(c)} AS DOUBLE)'} AS {name(c)}" for c in columns]
+    return df.selectExpr(*map(name, keep), *picked), lacking
 
 
-def class_weights(df: DataFrame, label: str, ratio: float, name: str = "weight") -> DataFrame:
-    return df.withColumn(name, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
+def class_weights(df: DataFrame, label: str, ratio: float, weight: str = "weight") -> DataFrame:
+    return df.withColumn(weight, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
 
 
 @dataclass(frozen=True)
@@ -104,20 +109,26 @@ class Prep:
     def columns(self) -> list[str]:
         return [*self.continuous, *self.binary]
 
+    def _filled(self, c: str) -> str:
+        return f"coalesce(CAST({name(c)} AS DOUBLE), {literal(self.fills[c])})"
+
+    def _scaled(self, c: str, filled: str) -> str:
+        return f"({filled} - {literal(self.means[c])}) / {literal(self.sds[c] or 1.0)}"
+
     def impute(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {c: F.coalesce(F.col(c).cast("double"), F.lit(self.fills[c])) for c in self.columns}
-        )
+        return df.withColumns({c: sqltext.column(self._filled(c)) for c in self.columns})
 
     def scale(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
-        return df.withColumns({prefix + c: self._scaled(c) for c in self.columns})
-
-    def _scaled(self, c: str) -> Column:
-        return (F.col(c) - F.lit(self.means[c])) / F.lit(self.sds[c] or 1.0)
+        """Standardised copies of imputed columns."""
+        return df.withColumns({prefix + c: sqltext.column(self._scaled(c, name(c))) for c in self.columns})
 
     def matrix(self, df: DataFrame, keep: Sequence[str], raw: str = "raw", scaled: str = "scaled") -> DataFrame:
         """``keep`` plus the imputed and the scaled features as vectors, in column order."""
-        filled = self.scale(self.impute(df))
+        filled = df.selectExpr(
+            *map(name, keep),
+            *[f"{self._filled(c)} AS {name(c)}" for c in self.columns],
+            *[f"{self._scaled(c, self._filled(c))} AS {name('z_' + c)}" for c in self.columns],
+        )
         for inputs, output in ((self.columns, raw), ([f"z_{c}" for c in self.columns], scaled)):
             filled = VectorAssembler(inputCols=inputs, outputCol=output).transform(filled)
         return filled.select(*keep, raw, scaled)
@@ -133,10 +144,10 @@ def fit_prep(train: DataFrame, continuous: Sequence[str], binary: Sequence[str],
     medians = {r.feature: r.value for r in exact_quantiles(train, continuous, (0.5,), accuracy).collect()} if continuous else {}
     fills = {c: float(medians.get(c, 0.0)) for c in continuous} | {c: 0.0 for c in binary}
     columns = [*continuous, *binary]
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fills[c])) for c in columns}
+    filled = {c: f"coalesce(CAST({name(c)} AS DOUBLE), {literal(fills[c])})" for c in columns}
     row = train.agg(
-        *[F.avg(filled[c]).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(filled[c]).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[sqltext.column(f"avg({filled[c]})", f"m{i}") for i, c in enumerate(columns)],
+        *[sqltext.column(f"stddev_pop({filled[c]})", f"s{i}") for i, c in enumerate(columns)],
     ).first()
     return Prep(
         list(continuous), list(binary), fills,

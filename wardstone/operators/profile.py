@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardstone.functions import sqltext
+from wardstone.functions.sqltext import literal, name
+
 
 def shape(df: DataFrame) -> DataFrame:
     return df.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
@@ -59,18 +62,15 @@ def flag_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def null_audit(df: DataFrame, columns: Sequence[str], digits: int | None = 1) -> DataFrame:
     """(feature, n_missing, pct_missing) of the columns that miss values; one aggregation over one scan."""
     counts = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(columns)]
+        F.count(F.lit(1)).alias("_n"),
+        *[sqltext.column(f"count_if({name(c)} IS NULL)", f"_{i}") for i, c in enumerate(columns)],
     )
-    def percent(i):
-        share = F.col(f"_{i}") / F.col("_n") * 100
-        return share if digits is None else F.round(share, digits)
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("n_missing"), percent(i).alias("pct_missing"))
-        for i, c in enumerate(columns)
-    ]
+    entries = ", ".join(f"struct({literal(c)} AS feature, _{i} AS n_missing, _n)" for i, c in enumerate(columns))
+    share = F.col("n_missing") / F.col("_n") * 100
     return (
-        counts.select(F.inline(F.array(*entries)))
+        counts.select(sqltext.column(f"inline(array({entries}))"))
         .where(F.col("n_missing") > 0)
+        .select("feature", "n_missing", (share if digits is None else F.round(share, digits)).alias("pct_missing"))
         .orderBy(F.col("pct_missing").desc(), "feature")
     )
 

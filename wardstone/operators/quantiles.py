@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wardstone.functions import sqltext
+from wardstone.functions.sqltext import literal, name
+
 SCHEMA = "feature string, prob double, value double"
 
 
@@ -21,12 +24,16 @@ def exact_quantiles(
     spark = df.sparkSession
     margin = 2 / accuracy
     edges = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
-    number = {c: F.col(c).cast("double") for c in columns}
+    number = {c: f"CAST({name(c)} AS DOUBLE)" for c in columns}
+    at_edges = f"array({', '.join(literal(e) for e in edges)}), {accuracy}"
     first = df.agg(
-        *[F.count(number[c]).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(number[c]).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(number[c]).alias(f"hi{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(number[c], edges, accuracy).alias(f"q{i}") for i, c in enumerate(columns)],
+        *[
+            sqltext.column(f"{text.format(number[c])}", f"{short}{i}")
+            for i, c in enumerate(columns)
+            for short, text in (
+                ("n", "count({})"), ("lo", "min({})"), ("hi", "max({})"), ("q", f"percentile_approx({{}}, {at_edges})"),
+            )
+        ]
     ).first()
 
     # One bracket per (column, quantile): bounded by the request, whatever the number of rows.
@@ -47,20 +54,13 @@ def exact_quantiles(
         return spark.createDataFrame([], SCHEMA)
 
     # Values below a bracket keep only the fact that they are below, and collapse map-side.
-    entries = [
-        F.when(
-            number[c] <= high,
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(p).alias("prob"),
-                F.lit(float(at)).alias("at"),
-                F.when(number[c] >= low, number[c]).alias("v"),
-            ),
-        )
+    entries = ", ".join(
+        f"CASE WHEN {number[c]} <= {literal(float(high))} THEN struct({literal(c)} AS feature, {literal(float(p))} AS prob, "
+        f"{literal(float(at))} AS at, CASE WHEN {number[c]} >= {literal(float(low))} THEN {number[c]} END AS v) END"
         for c, p, low, high, at in brackets
-    ]
+    )
     counted = (
-        df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+        df.select(sqltext.column(f"explode(array({entries}))", "e")).where("e IS NOT NULL").select("e.*")
         .groupBy("feature", "prob", "at", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     upto = Window.partitionBy("feature", "prob").orderBy(F.col("v").asc_nulls_first())

@@ -6,14 +6,16 @@ trees. The matrix is written to reliable storage once and read by all fits.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardstone.functions import sqltext
 from wardstone.operators import evaluate, explain, models, prep, profile
 from wardstone.plans import rulebook as rules
 from wardstone.session import cut_lineage
+from wardstone.sources import write_results
 
 
 @dataclass(frozen=True)
@@ -66,12 +68,18 @@ class RiskModel:
 
 @dataclass
 class Outcome:
+    """The fitted pipeline, the scored rows and the result tables, each built when it is asked for."""
+
     model: RiskModel
-    results: dict[str, DataFrame]
+    results: dict[str, Callable[[], DataFrame]]
     scored: DataFrame
     best_c: float
     losses: list[float] = field(default_factory=list)
 
+    def write(self, folder: str, fmt: str = "csv", names: Sequence[str] = ()) -> None:
+        """Write the named result tables, or all of them."""
+        write_results({n: self.results[n]() for n in names or self.results}, folder, fmt)
+
 
 def _slices(matrix: DataFrame, chosen: Sequence[str]) -> DataFrame:
     matrix = prep.slice_features(matrix, "scaled", chosen, "chosen_scaled")
@@ -114,7 +122,7 @@ def fit_and_evaluate(
     rows = df.select(
         key, F.col(target).cast("int").alias("label"), *[test.alias(n) for n, test in flags.items()],
         *([is_test.cast("int").alias("is_test")] if is_test is not None else []),
-        *[F.col(c).cast("double").alias(c) for c in features],
+        *[sqltext.column(f"CAST({sqltext.name(c)} AS DOUBLE)", c) for c in features],
     )
     if is_test is None:
         rows = prep.stratified_split(rows, "label", key, s.test_fraction, s.seed)
@@ -168,28 +176,33 @@ def fit_and_evaluate(
     cv = spark.createDataFrame(
         [("lr", *lr_cv), ("boosted_raw", *boosted_cv)], "model string, cv_auroc_mean double, cv_auroc_sd double"
     )
-    interval = evaluate.bootstrap_interval(test, "boosted_raw", "label", s.replicates, s.seed).select(
-        F.lit("boosted_raw").alias("model"), F.col("lo").alias("ci_95_lo"), F.col("hi").alias("ci_95_hi")
-    )
-    summary = evaluate.summary(test, scores, "label", "test")
-    attributions = explain.tree_attribution(boosted, ready.where("is_test = 1"), "chosen_raw", chosen, key)
+
+    def summary() -> DataFrame:
+        interval = evaluate.bootstrap_interval(test, "boosted_raw", "label", s.replicates, s.seed).select(
+            F.lit("boosted_raw").alias("model"), F.col("lo").alias("ci_95_lo"), F.col("hi").alias("ci_95_hi")
+        )
+        rows = evaluate.summary(test, scores, "label", "test")
+        return rows.join(cv, "model", "left").join(interval, "model", "left")
+
     results = {
-        "missing_data": profile.null_audit(rows, features),
-        "penalty_path": path.table(spark),
-        "coefficients": models.coefficient_table(spark, path.model, fitted.columns),
-        "preparation": fitted.table(spark),
-        "summary": summary.join(cv, "model", "left").join(interval, "model", "left"),
-        "train_summary": evaluate.summary(scored.where("is_test = 0"), scores, "label", "train"),
-        "roc_points": evaluate.roc_points(long(test, ["lr", "boosted"]), "score", "label", ["model"]),
-        "pr_points": evaluate.pr_points(long(test, ["lr", "boosted"]), "score", "label", ["model"]),
-        "reliability": evaluate.reliability(long(test, list(scores)), "score", "label", s.bins, ["model"]),
-        "attribution": explain.attribution_ranking(attributions),
+        "missing_data": lambda: profile.null_audit(rows, features),
+        "penalty_path": lambda: path.table(spark),
+        "coefficients": lambda: models.coefficient_table(spark, path.model, fitted.columns),
+        "preparation": lambda: fitted.table(spark),
+        "summary": summary,
+        "train_summary": lambda: evaluate.summary(scored.where("is_test = 0"), scores, "label", "train"),
+        "roc_points": lambda: evaluate.roc_points(long(test, ["lr", "boosted"]), "score", "label", ["model"]),
+        "pr_points": lambda: evaluate.pr_points(long(test, ["lr", "boosted"]), "score", "label", ["model"]),
+        "reliability": lambda: evaluate.reliability(long(test, list(scores)), "score", "label", s.bins, ["model"]),
+        "attribution": lambda: explain.attribution_ranking(
+            explain.tree_attribution(boosted, ready.where("is_test = 1"), "chosen_raw", chosen, key)
+        ),
     }
     if masks:
         tested = {name: F.col(flag) == 1 for name, flag in zip(masks, flags)}
         pair = {"boosted": "boosted", "lr": "lr"}
-        results["subgroups"] = evaluate.subgroup_metrics(test, pair, "label", tested, s.min_events)
-        results["subgroup_roc"] = evaluate.subgroup_roc(test, "boosted", "label", tested, s.min_events)
+        results["subgroups"] = lambda: evaluate.subgroup_metrics(test, pair, "label", tested, s.min_events)
+        results["subgroup_roc"] = lambda: evaluate.subgroup_roc(test, "boosted", "label", tested, s.min_events)
     return Outcome(model, results, scored, path.best_c, losses)
 
 
