@@ -93,8 +93,7 @@ def item_report(
 ) -> DataFrame:
     """The ``k`` most frequent items whose label matches ``pattern`` regardless of case: (item, label, n).
 
-    Rows are counted per item before the dictionary is joined, so the join sees one row per item and task, and the
-    items the dictionary keeps are joined as a filter on the scan side.
+    Rows are counted per item before the dictionary is joined, so the join sees one row per item.
     """
     named = dictionary.where(F.col(label).ilike(pattern)).select(item, label)
     rows = events if where is None else events.where(where)
