@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogue import clinical
 from catalogue.registry import Tables, query
-from wardstone.plans import cohort as plan, rulebook as rules
+from wardstone.plans import cohort as plan, profiling, rulebook as rules
 from wardstone.plans.cohort import Options
 
 _AGG = {"max": "max", "min": "min", "avg": "avg", "sum": "sum", "stddev": "stddev_samp"}
@@ -381,3 +381,9 @@ UNION ALL SELECT 'procedures', count(*) FROM vents
 UNION ALL SELECT 'diagnoses', count(*) FROM codes WHERE {' + '.join(r.flag for r in rules.CODE_FLAGS)} > 0""",
     lambda d: plan.sanity_counts(d),
 )
+family_query(
+    "cohort_profile",
+    ALL + """, kept AS (SELECT * FROM final WHERE is_first_icu_stay = 1 AND age >= 18)
+SELECT 'race_coded' AS column_name, CAST(race_coded AS VARCHAR) AS value, count(*) AS n FROM kept GROUP BY 2""",
+    lambda d: profiling.report(plan.cohort_table(d))["race_values"],
+)

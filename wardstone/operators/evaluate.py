@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardstone.operators.ordered import BUCKET, PER_PART, bucket_by_points, running_totals, split_points
+from wardstone.session import cut_lineage
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., score, pos, neg), one row per distinct score."""
@@ -25,9 +26,19 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
     )
 
 
+def _placed_counts(df: DataFrame, score: str, label: str, by: Sequence[str], per_part: int, name: str) -> DataFrame:
+    """Score counts with the number of their score interval.
+
+    Three passes follow (split points, interval totals, running sums), so the counts are written once: whatever made the
+    scores runs a single time.
+    """
+    counts = cut_lineage(score_counts(df, score, label, by))
+    return bucket_by_points(counts, "score", split_points(counts, "score", per_part), name)
+
+
 def cumulative_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (), per_part: int = PER_PART) -> DataFrame:
     """(by..., score, pos, neg, tp, fp, n_pos, n_neg): positives and negatives scored at least as high, and in all."""
-    placed = bucket_by_points(score_counts(df, score, label, by), "score", split_points(df, score, per_part), "_interval")
+    placed = _placed_counts(df, score, label, by, per_part, "_interval")
     out = running_totals(placed, by, [F.col("score").desc()], ["pos", "neg"], F.col("_interval"), descending=True)
     return out.select(
         *by, "score", "pos", "neg",
@@ -73,8 +84,7 @@ def roc_points(
 
     ``drop_intermediate`` leaves out points inside a straight run: those whose step in both counts equals the next one.
     """
-    points = split_points(df, score, per_part)
-    placed = bucket_by_points(score_counts(df, score, label, by), "score", points, "_interval")
+    placed = _placed_counts(df, score, label, by, per_part, "_interval")
     sums = running_totals(placed, by, [F.col("score").desc()], ["pos", "neg"], F.col("_interval"), descending=True)
     if drop_intermediate:
         sums = _with_next_step(sums, placed, by)
@@ -147,10 +157,7 @@ def bootstrap_aurocs(
     repeats the first draw (same seed, same interval totals) and makes its own second one. Rows times replicates is
     never built; each interval sends three sums per replicate on.
     """
-    counts = score_counts(df, score, label)
-    placed = bucket_by_points(counts, "score", split_points(df, score, per_part), BUCKET).withColumn(
-        BUCKET, F.col(BUCKET).cast("int")
-    )
+    placed = _placed_counts(df, score, label, (), per_part, BUCKET).withColumn(BUCKET, F.col(BUCKET).cast("int"))
     sizes = {r[0]: r[1] for r in placed.groupBy(BUCKET).agg(F.sum(F.col("pos") + F.col("neg"))).collect()}
     intervals = sorted(sizes)
     weights = np.array([sizes[b] for b in intervals], dtype="int64")
