@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.registry import Tables, query
+from wardstone.functions import round_columns
 from wardstone.operators import evaluate
 from wardstone.operators.explain import attribution_ranking, linear_attribution
+from wardstone.plans import rulebook as rules
 
 # A score with many ties and a label that depends on it a little.
 SCORED_SQL = """s AS (
@@ -145,6 +147,17 @@ def _comparison(t: Tables):
     return evaluate.summary(scored(t), {"first": "score", "second": "other"}, "label", "all lines")
 
 
+@query(
+    "published_digits",
+    f"""WITH {SCORED_SQL}, {curve_sql('l_linestatus')}, r AS (SELECT l_linestatus, {_AUROC} AS auroc, {_AP} AS pr_auc FROM c GROUP BY l_linestatus)
+        SELECT l_linestatus, CAST(round(CAST(auroc AS DECIMAL(30, 10)), 3) AS DOUBLE) AS auroc, CAST(round(CAST(pr_auc AS DECIMAL(30, 10)), 3) AS DOUBLE) AS pr_auc FROM r""",
+)
+def _published(t: Tables):
+    metrics = evaluate.ranking_metrics(scored(t), "score", "label", ["l_linestatus"])
+    named = metrics.select("l_linestatus", "auroc", F.col("average_precision").alias("pr_auc"))
+    return round_columns(named, rules.PUBLISHED_DIGITS)
+
+
 @query("bootstrap_interval")
 def _bootstrap(t: Tables):
     return evaluate.bootstrap_interval(scored(t), "score", "label", n=1000)

@@ -81,6 +81,12 @@ def test_best_round_waits_for_patience():
     assert models.best_round(losses, 30) == 9
 
 
+def test_fewer_rounds_grow_the_same_leading_trees(prepared):
+    train = prep.class_weights(prepared[0].where("is_test = 0"), "label", 2.0)
+    grow = lambda n: [t.toDebugString.split("\n", 1)[1] for t in models.boosted("raw", rounds=n, depth=3, weight="weight").fit(train).trees]
+    assert grow(4)[:2] == grow(2)
+
+
 def test_penalty_grid():
     grid = models.penalty_grid(32_593)
     assert len(grid) == 30 and grid[0][0] == pytest.approx(1e-4) and grid[-1] == (10.0, pytest.approx(1 / 325_930))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def round_half_away(value: Column, digits: int) -> Column:
@@ -13,3 +15,8 @@ def round_half_away(value: Column, digits: int) -> Column:
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom``, NULL where ``bottom`` is zero."""
     return top / F.nullif(bottom, F.lit(0))
+
+
+def round_columns(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
+    """Result tables as they are published: the named columns, where present, to so many digits."""
+    return df.withColumns({c: round_half_away(F.col(c), n) for c, n in digits.items() if c in df.columns})

@@ -27,6 +27,14 @@ def _shuffled_rank(df: DataFrame, label: str, key: str, seed, digits: int) -> Da
     return ranked(hashed, [label], order, F.substring("_order", 1, digits), "_rank", "_size").drop("_order")
 
 
+def _digits(rows: int, per_bucket: int = 250_000) -> int:
+    """Hex digits that leave about ``per_bucket`` rows to a bucket."""
+    digits = 1
+    while 16**digits * per_bucket < rows and digits < 6:
+        digits += 1
+    return digits
+
+
 def quotas(sizes: Mapping, fraction: float) -> dict:
     """Test rows per label: the total is rounded up and shared out by largest remainder."""
     total = sum(sizes.values())
@@ -40,7 +48,8 @@ def quotas(sizes: Mapping, fraction: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int | str = 42, flag: str = "is_test", digits: int = 3
+    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int | str = 42, flag: str = "is_test",
+    digits: int | None = None,
 ) -> DataFrame:
     """Mark an exact share of each label: ``flag`` is 1 for the held-out rows.
 
@@ -52,7 +61,7 @@ def stratified_split(
     for value, quota in take.items():
         test = F.col(label).isNull() if value is None else F.col(label) == value
         chain = chain.when(test, F.lit(quota))
-    out = _shuffled_rank(df, label, key, seed, digits)
+    out = _shuffled_rank(df, label, key, seed, digits or _digits(sum(sizes.values())))
     return out.withColumn(flag, F.when(F.col("_rank") <= chain.otherwise(F.lit(0)), 1).otherwise(0)).drop("_rank", "_size")
 
 

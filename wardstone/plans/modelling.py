@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardstone.functions import sqltext
+from wardstone.functions import round_columns, sqltext
 from wardstone.operators import evaluate, explain, models, prep, profile
 from wardstone.plans import rulebook as rules
 from wardstone.session import cut_lineage
@@ -77,8 +77,9 @@ class Outcome:
     losses: list[float] = field(default_factory=list)
 
     def write(self, folder: str, fmt: str = "csv", names: Sequence[str] = ()) -> None:
-        """Write the named result tables, or all of them."""
-        write_results({n: self.results[n]() for n in names or self.results}, folder, fmt)
+        """Write the named result tables, or all of them, with the published number of digits."""
+        tables = {n: round_columns(self.results[n](), rules.PUBLISHED_DIGITS) for n in names or self.results}
+        write_results(tables, folder, fmt)
 
 
 def _slices(matrix: DataFrame, chosen: Sequence[str]) -> DataFrame:

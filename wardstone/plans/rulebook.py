@@ -300,3 +300,9 @@ SPARSE_REVISED = SPARSE + ("ast_max", "lactate_max")
 NON_NUMERIC = ("anchor_year_group",)
 MIN_SUBGROUP_EVENTS = 10
 LAST_TRAIN_YEAR = 2018
+
+# --- fixed values: digits of published results ------------------------------------------------------------------------
+PUBLISHED_DIGITS = {
+    "auroc": 3, "pr_auc": 3, "cv_auroc_mean": 3, "cv_auroc_sd": 3, "ci_95_lo": 3, "ci_95_hi": 3, "brier": 4,
+    "boosted_auroc": 3, "boosted_ap": 3, "lr_auroc": 3, "lr_ap": 3, "prevalence_pct": 1, "pct_missing": 1,
+}
