@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from catalogue import clinical
 from catalogue.registry import Tables, query
+from wardstone.operators.profile import item_report, items_listed
+from wardstone.operators.windowed import windowed_features
 from wardstone.plans import cohort as plan, profiling, rulebook as rules
 from wardstone.plans.cohort import Options
 
@@ -312,7 +314,7 @@ family_query(
              where=f"e.itemid IN ({_members(sorted({i for r in rules.MEDICATION_FEATURES for i in r.items}))}) "
                    "AND e.at >= s.intime AND e.at <= s.intime + INTERVAL 24 HOUR")
     + " SELECT * FROM drugs",
-    lambda d: plan.windowed_features(
+    lambda d: windowed_features(
         d["inputevents"], plan.anchors(d).drop("hadm_id"), rules.MEDICATION_FEATURES, on="stay_id", entity="stay_id",
         time="starttime", anchor_time="intime", item="itemid",
     ),
@@ -350,7 +352,7 @@ family_query(
     _with("chartevents", "d_items") + """
 SELECT i.itemid, i.label, count(*) AS n FROM chartevents c JOIN d_items i ON i.itemid = c.itemid
 WHERE lower(i.label) LIKE '%pain%' AND c.valuenum IS NOT NULL GROUP BY ALL ORDER BY n DESC, i.itemid LIMIT 10""",
-    lambda d: plan.item_report(
+    lambda d: item_report(
         d["chartevents"], d["d_items"], item="itemid", label="label", pattern="%pain%", where=F.col("valuenum").isNotNull()
     ),
 )
@@ -358,7 +360,7 @@ family_query(
     "item_labels",
     _with("d_items") + """
 SELECT itemid, label FROM d_items WHERE label ILIKE '%rass%' OR label ILIKE '%richmond%' OR itemid IN (220739, 223900, 223901)""",
-    lambda d: plan.items_listed(
+    lambda d: items_listed(
         d["d_items"], item="itemid", label="label", items=(220739, 223900, 223901), patterns=("%rass%", "%richmond%")
     ),
 )

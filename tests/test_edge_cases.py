@@ -9,7 +9,7 @@ from wardstone.operators.assemble import attrition, require_unique
 from wardstone.operators.assessment import assessment_summary, assessment_times
 from wardstone.operators.balance import balance
 from wardstone.operators.codesets import code_flags
-from wardstone.operators.rules import CodeRule, FeatureRule
+from wardstone.operators.rules import CodeRule, TextClass
 from wardstone.operators.scores import ordinal_scores
 from wardstone.operators.sequence import entity_sequence
 from wardstone.operators.windowed import windowed_features, within_window
@@ -208,7 +208,7 @@ def test_uniqueness_is_checked(spark):
 
 def test_quotes_and_backslashes_in_rules(spark):
     df = spark.createDataFrame([("it's",), ("a\\b",)], "x string")
-    assert [r[0] for r in df.select(encode("x", (rules.TextClass(1, ("it's",)), rules.TextClass(2, ("\\",))), 0)).collect()] == [1, 2]
+    assert [r[0] for r in df.select(encode("x", (TextClass(1, ("it's",)), TextClass(2, ("\\",))), 0)).collect()] == [1, 2]
 
 
 def test_fused_rules_equal_one_query_per_rule(spark, base):

@@ -22,7 +22,6 @@ from wardstone.operators.assemble import assemble, attrition, cohort, row_counts
 from wardstone.operators.assessment import assessment_summary, assessment_times
 from wardstone.operators.balance import balance, with_net
 from wardstone.operators.codesets import code_flags, spread_to_entities
-from wardstone.operators.profile import item_report, items_listed  # noqa: F401
 from wardstone.operators.rules import FeatureRule
 from wardstone.operators.scores import ordinal_scores, sum_of_parts
 from wardstone.operators.sequence import entity_sequence, ever_flag
