@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardstone.llm import byte_bpe, licence_diagonals, line_rules, line_windows, ngram_join, rake, segment_topk
+from wardstone.llm import (
+    attention_mil, bwt_columns, byte_bpe, compact_windows, licence_diagonals, line_rules, line_windows, ngram_join, rake,
+    segment_topk,
+)
 from wardstone.session import tune
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_compact_windows(spark, sf_dir):
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_attention_mil(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return attention_mil.scored(docs, attention_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query(rake.sql())
 def op3_mixing(spark, sf_dir):
     return rake.report(table(spark, sf_dir, "documents"))
@@ -60,6 +74,11 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+@query()
+def op9_bwt_columns(spark, sf_dir):
+    return bwt_columns.report(table(spark, sf_dir, "documents"))
+
+
 @query(segment_topk.sql())
 def op10_exact_topk(spark, sf_dir):
     return segment_topk.top_k(table(spark, sf_dir, "embeddings"))
