@@ -152,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = docs.select("doc_id", "text").join(known, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "text").limit(sample)
 
     def learn(batches):
-        t = pa.Table.from_batches(list(batches))
-        if t.num_rows:
+        batches = list(batches)
+        if sum(b.num_rows for b in batches):
+            t = pa.Table.from_batches(batches)
             parts = [encode(t.column("text").combine_chunks().slice(i, 256)) for i in range(0, t.num_rows, 256)]
             owner = np.concatenate([o + 256 * i for i, (_, o) in enumerate(parts)])
             w = fit(np.concatenate([x for x, _ in parts]).astype(np.float64), owner, t.column("label").to_numpy().astype(float))
