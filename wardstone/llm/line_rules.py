@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.session import cut_lineage
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 # Marks that prose uses sparingly: a line made of them is decoration, shouting or a broken table.
@@ -132,7 +134,8 @@ def report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, without their failed lines; ``n_chars`` follows the text where it is a column."""
     r = F.col("_rules")
-    out = measure(docs, rules).where(r["kept"])
+    # written first: a filter on the verdict would be pushed below the arrays, which were then built again for every word
+    out = cut_lineage(measure(docs, rules)).where(r["kept"])
     new = {"text": r["cleaned"]} | ({"n_chars": F.length(r["cleaned"]).cast("long")} if "n_chars" in docs.columns else {})
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
