@@ -90,28 +90,35 @@ def encode_words(words: DataFrame, ranks) -> DataFrame:
     return one.select("word", fold_merges(F.col("word"), table).alias("ids"))
 
 
-class Encoder:
+class Words(dict):
     """Ids of words in a task: given ones, remembered ones, else the same fold."""
 
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, bytes]):
+        super().__init__(known)
+        self.ranks, self.known = ranks, known
+
+    def __missing__(self, word: str) -> bytes:
+        got = np.asarray(merged(word.encode(), self.ranks), "<u4").tobytes()
+        if len(self) >= REMEMBERED + len(self.known):
+            self.clear()
+            self.update(self.known)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
+class Encoder:
+    """Encodes and decodes the texts of a task."""
+
     def __init__(self, ranks, known: dict[str, bytes], pattern: str):
         import regex
 
-        self.ranks, self.known, self.find = dict(ranks), known, regex.compile(pattern).findall
-        self.rare: dict[str, bytes] = {}
+        self.find, self.words = regex.compile(pattern).findall, Words(dict(ranks), known)
         self.pieces = {rank: piece for piece, rank in ranks}
 
-    def word(self, word: str) -> bytes:
-        got = self.known.get(word) or self.rare.get(word)
-        if got is None:
-            got = np.asarray(merged(word.encode(), self.ranks), "<u4").tobytes()
-            if len(self.rare) >= REMEMBERED:
-                self.rare.clear()
-            if len(word) <= 64:
-                self.rare[word] = got
-        return got
-
     def text(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.word, self.find(text))), "<u4")
+        # looked up by the join itself: one Python call a rare word, none a common one
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.find(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
