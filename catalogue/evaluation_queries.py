@@ -76,7 +76,7 @@ def _many(t: Tables):
 @query(
     "roc_points",
     f"""WITH {SCORED_SQL}, {curve_sql()} SELECT score AS threshold, fp / n_neg AS fpr, tp / n_pos AS tpr FROM c
-        WHERE NOT coalesce(pos = next_pos AND neg = next_neg, FALSE)
+        WHERE NOT coalesce(pos = next_pos AND neg = next_neg AND tp + fp > pos + neg, FALSE)
         UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0""",
 )
 def _roc(t: Tables):
@@ -129,7 +129,7 @@ def _subgroups(t: Tables):
     "subgroup_roc",
     f"""WITH {SCORED_SQL}, {_MASKS_SQL}, {curve_sql('subgroup', 'score', 'm')}
         SELECT subgroup, score AS threshold, fp / n_neg AS fpr, tp / n_pos AS tpr FROM c
-        WHERE n_pos >= 10 AND NOT coalesce(pos = next_pos AND neg = next_neg, FALSE)
+        WHERE n_pos >= 10 AND NOT coalesce(pos = next_pos AND neg = next_neg AND tp + fp > pos + neg, FALSE)
         UNION ALL SELECT DISTINCT subgroup, CAST('inf' AS DOUBLE), 0, 0 FROM c WHERE n_pos >= 10""",
 )
 def _subgroup_roc(t: Tables):

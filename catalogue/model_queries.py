@@ -15,7 +15,7 @@ FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "punc
 
 def text_features(t: Tables):
     """Features of whole texts with a quality label; sparse where the text has no words."""
-    text, n = F.col("text"), F.length("text")
+    text, n = F.col("text"), F.nullif(F.length("text"), F.lit(0))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     words = F.nullif(count(r"\S+"), F.lit(0.0))
     docs = t("documents").join(t("labels"), "doc_id").where(F.col("quality").isNotNull())

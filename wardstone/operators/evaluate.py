@@ -17,11 +17,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardstone.operators.ordered import BUCKET, PER_PART, bucket_by_points, running_totals, split_points
 from wardstone.session import cut_lineage
 
+def evaluable(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The rows a metric is about: those with a label and a score. NaN is a missing score."""
+    return df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., score, pos, neg), one row per distinct score."""
+    """(by..., score, pos, neg), one row per distinct score of the evaluable rows."""
     one = lambda value: F.count_if(F.col(label) == value)
     return (
-        df.where(F.col(score).isNotNull())
+        evaluable(df, score, label)
         .groupBy(*by, F.col(score).cast("double").alias("score")).agg(one(1).alias("pos"), one(0).alias("neg"))
     )
 
@@ -74,7 +79,7 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
 
 def brier(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     miss = F.col(score) - F.col(label)
-    return df.groupBy(*by).agg(F.avg(miss * miss).alias("brier"))
+    return evaluable(df, score, label).groupBy(*by).agg(F.avg(miss * miss).alias("brier"))
 
 
 def roc_points(
@@ -82,14 +87,16 @@ def roc_points(
 ) -> DataFrame:
     """(by..., threshold, fpr, tpr), from the (0, 0) corner with an infinite threshold.
 
-    ``drop_intermediate`` leaves out points inside a straight run: those whose step in both counts equals the next one.
+    ``drop_intermediate`` leaves out points inside a straight run: those whose step in both counts equals the next one. The
+    first and the last threshold stay.
     """
     placed = _placed_counts(df, score, label, by, per_part, "_interval")
     sums = running_totals(placed, by, [F.col("score").desc()], ["pos", "neg"], F.col("_interval"), descending=True)
     if drop_intermediate:
         sums = _with_next_step(sums, placed, by)
         straight = (F.col("pos") == F.col("_next_pos")) & (F.col("neg") == F.col("_next_neg"))
-        sums = sums.where(~F.coalesce(straight, F.lit(False)))
+        first = (F.col("pos_upto") == F.col("pos")) & (F.col("neg_upto") == F.col("neg"))
+        sums = sums.where(first | ~F.coalesce(straight, F.lit(False)))
     rate = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))
     curve = sums.select(
         *by, F.col("score").alias("threshold"),
@@ -128,7 +135,7 @@ def pr_points(df: DataFrame, score: str, label: str, by: Sequence[str] = (), per
         (F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0))).alias("recall"),
         share.alias("baseline"),
     )
-    totals = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.avg(F.col(label)).alias("baseline"))
+    totals = evaluable(df, score, label).groupBy(*by).agg(F.avg(F.col(label)).alias("baseline"))
     end = totals.select(
         *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"), "baseline",
@@ -140,7 +147,7 @@ def reliability(df: DataFrame, score: str, label: str, bins: int = 10, by: Seque
     """(by..., bin, n, mean_predicted, observed) over equal-width bins closed on the right; empty bins do not appear."""
     inner_edges = [k * (1.0 / bins) for k in range(1, bins)]
     number = reduce(lambda a, b: a + b, [F.when(F.col(score) > F.lit(e), 1).otherwise(0) for e in inner_edges])
-    return df.groupBy(*by, number.alias("bin")).agg(
+    return evaluable(df, score, label).groupBy(*by, number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col(score)).alias("mean_predicted"),
         F.avg(F.col(label).cast("double")).alias("observed"),

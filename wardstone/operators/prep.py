@@ -38,6 +38,8 @@ def _digits(rows: int, per_bucket: int = 250_000) -> int:
 def quotas(sizes: Mapping, fraction: float) -> dict:
     """Test rows per label: the total is rounded up and shared out by largest remainder."""
     total = sum(sizes.values())
+    if not total:
+        return dict.fromkeys(sizes, 0)
     wanted = -int(-(total * fraction) // 1)
     exact = {k: n * wanted / total for k, n in sizes.items()}
     out = {k: int(x) for k, x in exact.items()}
@@ -57,7 +59,7 @@ def stratified_split(
     """
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     take = quotas(sizes, fraction)
-    chain = F
+    chain = F.when(F.lit(False), F.lit(0))  # an empty table has no label
     for value, quota in take.items():
         test = F.col(label).isNull() if value is None else F.col(label) == value
         chain = chain.when(test, F.lit(quota))
