@@ -51,3 +51,8 @@ def cases(steps: Sequence[tuple[str, object]], otherwise) -> str:
 def column(text: str, alias: str | None = None) -> Column:
     out = F.expr(text)
     return out.alias(alias) if alias else out
+
+
+def number_or_null(c: str) -> str:
+    """Column ``c`` as a double; NaN counts as missing."""
+    return f"nullif(CAST({name(c)} AS DOUBLE), CAST('NaN' AS DOUBLE))"

@@ -38,7 +38,7 @@ def _placed_counts(df: DataFrame, score: str, label: str, by: Sequence[str], per
     scores runs a single time.
     """
     counts = cut_lineage(score_counts(df, score, label, by))
-    return bucket_by_points(counts, "score", split_points(counts, "score", per_part), name)
+    return bucket_by_points(counts, "score", split_points(counts, "score", per_part, unique=not by), name)
 
 
 def cumulative_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (), per_part: int = PER_PART) -> DataFrame:

@@ -65,18 +65,19 @@ def ranked(
     return out.select(*df.columns, F.col("_one_upto").alias(rank), F.col("_one_all").alias(size))
 
 
-def split_points(df: DataFrame, column: str, per_part: int = PER_PART, most: int = 1024) -> list[float]:
+def split_points(df: DataFrame, column: str, per_part: int = PER_PART, unique: bool = False) -> list[float]:
     """Values that cut the distinct values of ``column`` into shares of about ``per_part``.
 
-    Runs one job over the distinct values; what comes back to the driver is bounded by ``most``.
+    Counts first, then takes one quantile per ``per_part`` values: that many come back to the driver. ``unique`` says
+    that no value occurs twice.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct()
-    grid = ", ".join(f"{i / most}D" for i in range(1, most))
-    found = values.agg(F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({grid}), 10000)").alias("at")).first()
-    parts = min(most, -(-found["n"] // per_part))
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = values if unique else values.distinct()
+    parts = -(-values.count() // per_part)
     if parts < 2:
         return []
-    return sorted({found["at"][round(i * most / parts) - 1] for i in range(1, parts)})
+    grid = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    return sorted(set(values.agg(F.expr(f"percentile_approx(v, array({grid}), {max(10_000, 10 * parts)})")).first()[0]))
 
 
 def bucket_by_points(df: DataFrame, column: str, points: Sequence[float], name: str = BUCKET) -> DataFrame:

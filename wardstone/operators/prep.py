@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardstone.functions import sqltext
-from wardstone.functions.sqltext import literal, name
+from wardstone.functions.sqltext import literal, name, number_or_null
 from wardstone.operators.ordered import ranked
 from wardstone.operators.quantiles import exact_quantiles
 
@@ -30,7 +30,7 @@ def _shuffled_rank(df: DataFrame, label: str, key: str, seed, digits: int) -> Da
 def _digits(rows: int, per_bucket: int = 250_000) -> int:
     """Hex digits that leave about ``per_bucket`` rows to a bucket."""
     digits = 1
-    while 16**digits * per_bucket < rows and digits < 6:
+    while 16**digits * per_bucket < rows:
         digits += 1
     return digits
 
@@ -67,9 +67,10 @@ def stratified_split(
     return out.withColumn(flag, F.when(F.col("_rank") <= chain.otherwise(F.lit(0)), 1).otherwise(0)).drop("_rank", "_size")
 
 
-def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = 42, fold: str = "fold", digits: int = 3) -> DataFrame:
+def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = 42, fold: str = "fold",
+          digits: int | None = None) -> DataFrame:
     """Number ``k`` stratified folds 0..k-1 of equal size, up to one row per label."""
-    out = _shuffled_rank(df, label, key, seed, digits)
+    out = _shuffled_rank(df, label, key, seed, digits or _digits(df.count()))
     return out.withColumn(fold, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
@@ -87,7 +88,7 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list
     """(continuous, binary): binary columns hold nothing but 0, 1 and NULL. One aggregation, one row back."""
     found = df.agg(
         *[
-            sqltext.column(f"max(CASE WHEN CAST({name(c)} AS DOUBLE) NOT IN (0D, 1D) THEN 1 END)", f"_{i}")
+            sqltext.column(f"max(CASE WHEN {number_or_null(c)} NOT IN (0D, 1D) THEN 1 END)", f"_{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -98,7 +99,7 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list
 def reconcile(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """The wanted columns as doubles, zero where the table lacks them, and the names that were lacking."""
     lacking = [c for c in columns if c not in df.columns]
-    picked = [f"{'0D' if c in lacking else f'CAST({name(c)} AS DOUBLE)'} AS {name(c)}" for c in columns]
+    picked = [f"{'0D' if c in lacking else number_or_null(c)} AS {name(c)}" for c in columns]
     return df.selectExpr(*map(name, keep), *picked), lacking
 
 
@@ -121,7 +122,7 @@ class Prep:
         return [*self.continuous, *self.binary]
 
     def _filled(self, c: str) -> str:
-        return f"coalesce(CAST({name(c)} AS DOUBLE), {literal(self.fills[c])})"
+        return f"coalesce({number_or_null(c)}, {literal(self.fills[c])})"
 
     def _scaled(self, c: str, filled: str) -> str:
         return f"({filled} - {literal(self.means[c])}) / {literal(self.sds[c] or 1.0)}"
@@ -155,7 +156,7 @@ def fit_prep(train: DataFrame, continuous: Sequence[str], binary: Sequence[str],
     medians = {r.feature: r.value for r in exact_quantiles(train, continuous, (0.5,), accuracy).collect()} if continuous else {}
     fills = {c: float(medians.get(c, 0.0)) for c in continuous} | {c: 0.0 for c in binary}
     columns = [*continuous, *binary]
-    filled = {c: f"coalesce(CAST({name(c)} AS DOUBLE), {literal(fills[c])})" for c in columns}
+    filled = {c: f"coalesce({number_or_null(c)}, {literal(fills[c])})" for c in columns}
     row = train.agg(
         *[sqltext.column(f"avg({filled[c]})", f"m{i}") for i, c in enumerate(columns)],
         *[sqltext.column(f"stddev_pop({filled[c]})", f"s{i}") for i, c in enumerate(columns)],

@@ -60,10 +60,12 @@ def flag_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def null_audit(df: DataFrame, columns: Sequence[str], digits: int | None = 1) -> DataFrame:
-    """(feature, n_missing, pct_missing) of the columns that miss values; one aggregation over one scan."""
+    """(feature, n_missing, pct_missing) of the columns that miss values, NaN included; one aggregation over one scan."""
+    broken = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    missing = {c: f"{name(c)} IS NULL" + f" OR isnan({name(c)})" * (c in broken) for c in columns}
     counts = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[sqltext.column(f"count_if({name(c)} IS NULL)", f"_{i}") for i, c in enumerate(columns)],
+        *[sqltext.column(f"count_if({missing[c]})", f"_{i}") for i, c in enumerate(columns)],
     )
     entries = ", ".join(f"struct({literal(c)} AS feature, _{i} AS n_missing, _n)" for i, c in enumerate(columns))
     share = F.col("n_missing") / F.col("_n") * 100

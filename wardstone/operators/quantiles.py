@@ -1,18 +1,20 @@
 """Exact quantiles of many columns, with work that stays bounded per task.
 
-A built-in exact percentile keeps every distinct value of a column in one buffer. Here a first pass takes sketches
-(bounded size, no shuffle of rows) that bracket each quantile; a second pass counts what lies below the bracket and
-groups only the values inside it, so that only a sliver of the rows is shuffled and the order statistics are exact.
+A built-in exact percentile keeps every distinct value of a column in one buffer. Here a first pass counts values, a
+second takes sketches (bounded size, no shuffle of rows) that bracket each quantile, and a third counts what lies below
+and inside the brackets. Only values inside a bracket are then grouped and ranked, in as many intervals as their number
+asks for, so that a sliver of the rows is shuffled and the order statistics are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wardstone.functions import sqltext
-from wardstone.functions.sqltext import literal, name
+from wardstone.functions.sqltext import literal, number_or_null
+from wardstone.operators.ordered import PER_PART, running_totals
 
 SCHEMA = "feature string, prob double, value double"
 
@@ -20,57 +22,63 @@ SCHEMA = "feature string, prob double, value double"
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), accuracy: int = 10_000
 ) -> DataFrame:
-    """(feature, prob, value), linearly interpolated between order statistics; NULLs are ignored."""
+    """(feature, prob, value), linearly interpolated between order statistics; NULL and NaN are ignored."""
     spark = df.sparkSession
-    margin = 2 / accuracy
-    edges = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
-    number = {c: f"CAST({name(c)} AS DOUBLE)" for c in columns}
-    at_edges = f"array({', '.join(literal(e) for e in edges)}), {accuracy}"
-    first = df.agg(
-        *[
-            sqltext.column(f"{text.format(number[c])}", f"{short}{i}")
-            for i, c in enumerate(columns)
-            for short, text in (
-                ("n", "count({})"), ("lo", "min({})"), ("hi", "max({})"), ("q", f"percentile_approx({{}}, {at_edges})"),
-            )
-        ]
-    ).first()
+    number = {c: number_or_null(c) for c in columns}
+    if not columns:
+        return spark.createDataFrame([], SCHEMA)
+    sizes = df.agg(*[sqltext.column(f"count({number[c]})", f"n{i}") for i, c in enumerate(columns)]).first()
+    asked = [(i, c, p, sizes[f"n{i}"]) for i, c in enumerate(columns) if sizes[f"n{i}"] for p in probs]
+    if not asked:
+        return spark.createDataFrame([], SCHEMA)
 
+    # The sketch errs by a rank of n / accuracy, its rounding and the interpolation by less than two ranks.
+    sketched = []
+    for k, (i, c, p, n) in enumerate(asked):
+        margin = 2 / accuracy + 2 / n
+        edges = f"array({literal(max(p - margin, 0.0))}, {literal(min(p + margin, 1.0))})"
+        sketched.append(sqltext.column(f"percentile_approx({number[c]}, {edges}, {accuracy})", f"q{k}"))
+    ends = df.agg(
+        *sketched,
+        *[sqltext.column(f"{f}({number[c]})", f"{f}{i}") for i, c in enumerate(columns) for f in ("min", "max")],
+    ).first()
     # One bracket per (column, quantile): bounded by the request, whatever the number of rows.
     brackets = []
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        if not n:
-            continue
-        for p in probs:
-            if n <= 10 * accuracy:
-                low, high = first[f"lo{i}"], first[f"hi{i}"]
-            else:
-                low_edge, high_edge = max(p - margin, 0.0), min(p + margin, 1.0)
-                low = first[f"lo{i}"] if low_edge == 0 else first[f"q{i}"][edges.index(low_edge)]
-                high = first[f"hi{i}"] if high_edge == 1 else first[f"q{i}"][edges.index(high_edge)]
-            brackets.append((c, p, low, high, p * (n - 1)))
-    if not brackets:
-        return spark.createDataFrame([], SCHEMA)
+    for k, (i, c, p, n) in enumerate(asked):
+        margin = 2 / accuracy + 2 / n
+        low = ends[f"min{i}"] if p <= margin else ends[f"q{k}"][0]
+        high = ends[f"max{i}"] if p + margin >= 1 else ends[f"q{k}"][1]
+        brackets.append((c, p, float(low), float(high), p * (n - 1)))
+    inside = [f"{number[c]} BETWEEN {literal(low)} AND {literal(high)}" for c, _, low, high, _ in brackets]
+    counts = df.agg(*[
+        sqltext.column(text, f"{short}{k}")
+        for k, (c, _, low, _, _) in enumerate(brackets)
+        for short, text in (("below", f"count_if({number[c]} < {literal(low)})"), ("in", f"count_if({inside[k]})"))
+    ]).first()
 
-    # Values below a bracket keep only the fact that they are below, and collapse map-side.
-    entries = ", ".join(
-        f"CASE WHEN {number[c]} <= {literal(float(high))} THEN struct({literal(c)} AS feature, {literal(float(p))} AS prob, "
-        f"{literal(float(at))} AS at, CASE WHEN {number[c]} >= {literal(float(low))} THEN {number[c]} END AS v) END"
-        for c, p, low, high, at in brackets
-    )
+    def entry(k: int) -> str:
+        c, p, low, high, at = brackets[k]
+        parts = -(-counts[f"in{k}"] // PER_PART)
+        width = (high - low) / parts or 1.0
+        return (
+            f"CASE WHEN {inside[k]} THEN struct({literal(c)} AS feature, {literal(float(p))} AS prob, "
+            f"{literal(at - counts[f'below{k}'])} AS at, {number[c]} AS v, "
+            f"CAST(floor(({number[c]} - {literal(low)}) / {literal(width)}) AS BIGINT) AS part) END"
+        )
+
+    entries = ", ".join(entry(k) for k in range(len(brackets)))
     counted = (
-        df.select(sqltext.column(f"explode(array({entries}))", "e")).where("e IS NOT NULL").select("e.*")
-        .groupBy("feature", "prob", "at", "v").agg(F.count(F.lit(1)).alias("n"))
+        df.where(" OR ".join(f"({test})" for test in inside))
+        .select(sqltext.column(f"explode(array({entries}))", "e")).where("e IS NOT NULL").select("e.*")
+        .groupBy("feature", "prob", "at", "v", "part").agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("feature", "prob").orderBy(F.col("v").asc_nulls_first())
-    ordered = counted.withColumn("upto", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = running_totals(counted, ["feature", "prob"], [F.col("v")], ["n"], F.col("part"))
     below, above = F.floor("at"), F.ceil("at")
     return (
         ordered.groupBy("feature", "prob", "at")
         .agg(
-            F.min(F.when(F.col("upto") > below, F.col("v"))).alias("a"),
-            F.min(F.when(F.col("upto") > above, F.col("v"))).alias("b"),
+            F.min(F.when(F.col("n_upto") > below, F.col("v"))).alias("a"),
+            F.min(F.when(F.col("n_upto") > above, F.col("v"))).alias("b"),
         )
         .select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
     )

@@ -123,11 +123,11 @@ def fit_and_evaluate(
     rows = df.select(
         key, F.col(target).cast("int").alias("label"), *[test.alias(n) for n, test in flags.items()],
         *([is_test.cast("int").alias("is_test")] if is_test is not None else []),
-        *[sqltext.column(f"CAST({sqltext.name(c)} AS DOUBLE)", c) for c in features],
+        *[sqltext.column(sqltext.number_or_null(c), c) for c in features],
     )
+    rows = cut_lineage(rows)  # the split reads its input more than once
     if is_test is None:
-        rows = prep.stratified_split(rows, "label", key, s.test_fraction, s.seed)
-    rows = cut_lineage(rows)
+        rows = cut_lineage(prep.stratified_split(rows, "label", key, s.test_fraction, s.seed))
     train_rows = rows.where("is_test = 0")
 
     continuous, binary = prep.column_kinds(rows if s.kinds_from == "all" else train_rows, features)
@@ -142,7 +142,9 @@ def fit_and_evaluate(
     path = models.l1_path(
         train, "scaled", "fold", grid=grid, k=s.folds, max_iter=s.max_iter, parallelism=s.parallelism
     )
-    chosen = models.selected_features(path.model, fitted.columns) or fitted.columns
+    chosen = models.selected_features(path.model, fitted.columns)
+    if not chosen:
+        raise ValueError(f"no feature has a coefficient at the best penalty, {path.best_c}")
     ready = cut_lineage(_slices(matrix, chosen))
     train = ready.where("is_test = 0")
 
@@ -150,7 +152,9 @@ def fit_and_evaluate(
     logistic = logistic_fit.fit(train)
     lr_cv = models.cross_validated_auroc(logistic_fit, train, "fold", k=s.folds, parallelism=s.parallelism)
 
-    ratio = profile.class_ratio(train, "label").first().ratio or 1.0
+    ratio = profile.class_ratio(train, "label").first().ratio
+    if not ratio:
+        raise ValueError("training rows hold one class only")
     weighted = prep.class_weights(train, "label", ratio)
     weighted = cut_lineage(
         prep.stratified_split(weighted, "label", key, s.calibration_fraction, f"{s.seed}-calibration", "is_cal")
