@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,26 @@ def test_passages_are_found(spark, words):
     assert next(r for r in rows if r.doc_id == 1)[1:3] == (20, 74)
 
 
+def test_passages_with_an_insertion_and_at_every_place(spark, words):
+    p, ins, q = words(80).split(), words(10).split(), words(60)
+    longer = " ".join(p[:40] + ins + p[40:])
+    texts = [words(30) + " " + " ".join(p) + " " + words(30), words(25) + " " + longer + " " + words(20),
+             q + " " + words(40), words(15) + " " + q + " " + words(70) + " " + q, words(200)]
+    shingles = [s for _, _, s in compact_windows.shingles_of(pa.array(texts))]
+    assert [x[:4] for x in compact_windows.passages(shingles[0], shingles[1])] == [(30, 105, 25, 110)]
+    assert next(compact_windows.passages(shingles[1], shingles[0]))[4] == pytest.approx(0.8)
+    assert {x[2:4] for x in compact_windows.passages(shingles[2], shingles[3])} == {(15, 70), (145, 200)}
+    assert {x[:2] for x in compact_windows.passages(shingles[3], shingles[2])} == {(15, 70), (145, 200)}
+    # a stray match from elsewhere inside a passage parts nothing
+    a, b = shingles[0][30:106].copy(), np.concatenate([shingles[0][30:106], shingles[4][:80]])
+    a[38] = shingles[4][70]
+    assert [x[:4] for x in compact_windows.passages(a, b)] == [(0, 75, 0, 75)]
+    # every shingle the same, and texts of blocks in another order
+    assert list(compact_windows.passages(np.zeros(300, np.uint64), np.zeros(200, np.uint64)))
+    turned = np.concatenate([shingles[4][100:160], shingles[4][:60]])
+    assert len(list(compact_windows.passages(turned, shingles[4]))) == 2
+
+
 def test_passages_odd_rows(odd):
     rows = compact_windows.near_passages(odd).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, None, 8, 9, 10, 11}
