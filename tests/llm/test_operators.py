@@ -140,6 +140,18 @@ def test_passages_are_found(spark, words):
     assert next(r for r in rows if r.doc_id == 1)[1:3] == (20, 74)
 
 
+def test_passages_around_a_hot_phrase_match_brute_force(spark, words):
+    phrase = words(30)
+    texts = [words(40) + " " + phrase + " " + words(40) for _ in range(20)]
+    for _ in range(30):
+        own = words(11) + " " + phrase + " " + words(11)
+        texts += [words(30) + " " + own + " " + words(20), words(15) + " " + own + " " + words(35)]
+    sets = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in map(str.split, texts)]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]}
+    rows = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(want) == 30 and {(r.doc_id, r.other_doc_id) for r in rows if r.doc_id > r.other_doc_id} == want
+
+
 def test_passages_with_an_insertion_and_at_every_place(spark, words):
     p, ins, q = words(80).split(), words(10).split(), words(60)
     longer = " ".join(p[:40] + ins + p[40:])
