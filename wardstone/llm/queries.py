@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardstone.llm import (
     attention_mil, bwt_columns, byte_bpe, chat_format, compact_windows, licence_diagonals, line_rules, line_windows,
-    ngram_join, rake, segment_topk,
+    ngram_join, rake, segment_topk, turn_repair,
 )
 from wardstone.session import tune
 
@@ -84,6 +84,11 @@ def op10_exact_topk(spark, sf_dir):
     return segment_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op11_turn_repair(spark, sf_dir):
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
 @query(chat_format.sql())
 def op13_chat_format(spark, sf_dir):
     return chat_format.report(table(spark, sf_dir, "conversations"))
