@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardstone.llm import (
-    attention_mil, bwt_columns, byte_bpe, chat_format, compact_windows, licence_diagonals, line_rules, line_windows,
-    ngram_join, rake, segment_topk, turn_repair,
+    attention_mil, bwt_columns, byte_bpe, chat_format, collocations, compact_windows, licence_diagonals, line_rules,
+    line_windows, ngram_join, rake, segment_topk, turn_repair,
 )
 from wardstone.session import tune
 
@@ -89,6 +89,11 @@ def op11_turn_repair(spark, sf_dir):
     return turn_repair.report(table(spark, sf_dir, "conversations"))
 
 
+@query(collocations.sql())
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query(chat_format.sql())
 def op13_chat_format(spark, sf_dir):
     return chat_format.report(table(spark, sf_dir, "conversations"))
