@@ -37,6 +37,17 @@ WORD = ~STOPS
 WORD[[9, 32]] = False
 
 
+def slices(batches, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about ``most`` bytes of text, a longer text alone: whole texts, small arrays."""
+    for batch in batches:
+        _, at = buffer_of(batch.column("text"))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def read_words(batch: pa.RecordBatch):
     """Words of a batch of (lang, text): hash with language, language number, start, end, whether a piece ends after
     it; and the bytes and languages."""
@@ -48,7 +59,7 @@ def read_words(batch: pa.RecordBatch):
     names, from_ = buffer_of(langs.dictionary)
     salts = word_hashes(names, from_[:-1], from_[1:]) if len(names) else np.zeros(len(langs.dictionary), U)
     hashes = mix(word_hashes(data, starts, stops) ^ (salts[lang] * BASE))
-    stopped = np.cumsum(STOPS[data]) if len(data) else np.zeros(0, int)
+    stopped = np.cumsum(STOPS[data], dtype=np.int32) if len(data) else np.zeros(0, int)
     last = np.ones(len(starts), bool)
     last[:-1] = (docs[1:] != docs[:-1]) | (stopped[starts[1:]] != stopped[stops[:-1] - 1])
     return hashes, lang, starts, stops, last, data, langs.dictionary
@@ -58,7 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, hash, n) of all words."""
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hashes, lang, starts, stops, _, data, langs = read_words(batch)
             found, first, n = np.unique(hashes, return_index=True, return_counts=True)
             raw = data.tobytes()
@@ -89,14 +100,14 @@ def number_words(spark: SparkSession, words: DataFrame) -> DataFrame:
 
 
 def stored(spark: SparkSession, docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(ids binary): numbers of the words of whole batches as int32, -1 for rare words and ends of pieces."""
+    """(ids binary): numbers of the words of runs of texts as int32, -1 for rare words and ends of pieces."""
     tables = []
     for part in in_shards(words.select("hash", "id"), words.count(), "hash"):
         order = np.argsort(keys := part["hash"].to_numpy().view(U))
         tables.append(spark.sparkContext.broadcast((keys[order], part["id"].to_numpy()[order])))
 
     def number(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hashes, _, _, _, last, _, _ = read_words(batch)
             ids = np.full(len(hashes), -1, np.int32)
             for t in tables:
