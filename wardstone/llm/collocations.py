@@ -30,6 +30,7 @@ from wardstone.llm.bytesops import BASE, LOWER, U, buffer_of, mix, word_bounds,
 from wardstone.session import cut_lineage
 
 SHARD = 1 << 18
+BLOCK = 1 << 13
 LONGEST = 4
 STOPS = np.zeros(256, bool)
 STOPS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -202,26 +203,29 @@ def advanced(base, check, ids: np.ndarray, k: int, digits: int) -> tuple[np.ndar
 
 
 class Level:
-    """Broadcast tries of the phrases of k words, one for each shard."""
+    """Broadcast tries of the candidates of k words, one for each shard; ``keep`` marks those that are phrases."""
 
-    def __init__(self, spark: SparkSession, phrases: DataFrame, k: int, digits: int):
-        self.k, self.digits, self.tries = k, digits, []
-        self.spark, self.phrases = spark, phrases
-        for part in in_shards(phrases.select("ids"), phrases.count(), "ids"):
-            rows = np.array(part["ids"].to_pylist(), np.int32).reshape(-1, k)
+    def __init__(self, spark: SparkSession, found: DataFrame, k: int, digits: int):
+        self.k, self.digits, self.tries, self.rows, self.good = k, digits, [], [], []
+        for part in in_shards(found, found.count(), "ids"):
+            rows = part["ids"].combine_chunks().flatten().to_numpy().reshape(-1, k)
             base, check, accepting = double_array(rows, digits)
-            self.tries.append(spark.sparkContext.broadcast((base, check, rows[np.argsort(accepting)], np.sort(accepting))))
+            order = np.argsort(accepting)
+            self.tries.append(spark.sparkContext.broadcast((base, check, accepting[order])))
+            self.rows.append(spark.sparkContext.broadcast(rows[order]))
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         """Whether a phrase of the level begins at each place."""
         out = np.zeros(len(ids), bool)
-        for t in self.tries:
-            base, check, _, _ = t.value
-            out[advanced(base, check, ids, self.k, self.digits)[0]] = True
+        for t, good in zip(self.tries, self.good):
+            base, check, accepting = t.value
+            at, states = advanced(base, check, ids, self.k, self.digits)
+            out[at[good.value[np.searchsorted(accepting, states)]]] = True
         return out
 
     def counted(self, texts: DataFrame) -> DataFrame:
-        """(ids, n) of the phrases that occur."""
+        """(shard, place, ids, n) of the candidates. A task gives its counts as arrays of ``BLOCK`` places, which are
+        summed as they stream by, sorted by block."""
         level = self
 
         def count(batches):
@@ -229,22 +233,51 @@ class Level:
             for batch in batches:
                 for ids in arrays(batch):
                     for i, t in enumerate(level.tries):
-                        base, check, _, _ = t.value
-                        _, states = advanced(base, check, ids, level.k, level.digits)
-                        sums[i] += np.bincount(states, minlength=len(check))
-            for n, t in zip(sums, level.tries):
-                _, _, rows, accepting = t.value
-                there = np.flatnonzero(n[accepting])
-                yield pa.RecordBatch.from_pydict({
-                    "ids": pa.array(list(rows[there]), pa.list_(pa.int32())), "n": n[accepting[there]]})
-
-        return texts.mapInArrow(count, "ids array<int>, n long").groupBy("ids").agg(F.sum("n").alias("n"))
-
-    def __getstate__(self):
-        return {"k": self.k, "digits": self.digits, "tries": self.tries}
+                        base, check, _ = t.value
+                        sums[i] += np.bincount(advanced(base, check, ids, level.k, level.digits)[1], minlength=len(check))
+            for i, t in enumerate(level.tries):
+                n = sums[i][t.value[2]]
+                for b in range(0, len(n), BLOCK):
+                    yield pa.RecordBatch.from_pydict({"shard": [i], "block": [b], "n": pa.array([n[b : b + BLOCK].tobytes()], pa.binary())})
+
+        def add(batches):
+            key, sums = None, None
+            for batch in batches:
+                for shard, block, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    n = np.frombuffer(n, np.int64)
+                    if (shard, block) == key:
+                        sums = sums + n
+                        continue
+                    if key:
+                        yield whole(*key, sums)
+                    key, sums = (shard, block), n
+            if key:
+                yield whole(*key, sums)
+
+        def whole(shard, block, sums):
+            rows = level.rows[shard].value[block : block + len(sums)]
+            lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * level.k, pa.array(rows.ravel(), pa.int32()))
+            place = np.arange(block, block + len(sums))
+            return pa.RecordBatch.from_pydict({"shard": np.full(len(sums), shard), "place": place, "ids": lists, "n": sums})
+
+        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return (
+            texts.mapInArrow(count, "shard long, block long, n binary")
+            .repartition(parts, "shard", "block").sortWithinPartitions("shard", "block")
+            .mapInArrow(add, "shard long, place long, ids array<int>, n long")
+        )
+
+    def keep(self, phrases: DataFrame):
+        """Only the phrases of the table (shard, place) count from now on."""
+        for i, rows in enumerate(self.rows):
+            good = np.zeros(len(rows.value) + 1, bool)
+            good[phrases.where(F.col("shard") == i).select("place").toArrow()["place"].to_numpy()] = True
+            self.good.append(phrases.sparkSession.sparkContext.broadcast(good))
+            rows.destroy()
+        self.rows = []
 
     def close(self):
-        for t in self.tries:
+        for t in [*self.tries, *self.good]:
             t.destroy()
 
 
@@ -319,13 +352,14 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> t
     digits = max(1, -(-max(words.count() - 1, 1).bit_length() // 8))
     found, level = [words.select(F.array("id").alias("ids"), "n")], None
     for k in range(2, longest + 1):
-        tries = Level(spark, candidates(spark, texts, k, least, level), k, digits)
-        phrases = cut_lineage(tries.counted(texts).where(F.col("n") >= least))
-        tries.close()
-        found.append(phrases)
-        if level:
-            level.close()
-        level = Level(spark, phrases, k, digits) if k < longest else None
+        level, shorter = Level(spark, candidates(spark, texts, k, least, level), k, digits), level
+        phrases = cut_lineage(level.counted(texts).where(F.col("n") >= least))
+        level.keep(phrases)
+        found.append(phrases.select("ids", "n"))
+        if shorter:
+            shorter.close()
+    if level:
+        level.close()
     union = found[0]
     for f in found[1:]:
         union = union.union(f)
