@@ -105,19 +105,41 @@ def test_small_subgroups_are_skipped(spark):
     assert [r.subgroup for r in evaluate.subgroup_metrics(df, {"m": "score"}, "label", masks).collect()] == ["second"]
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_quantiles_are_exact_on_both_paths(spark, accuracy):
+@pytest.mark.parametrize("bins, few", [(3, 10), (256, 10), (256, 10_000)])
+def test_quantiles_are_exact_in_any_number_of_rounds(spark, bins, few):
     import numpy as np
 
     rng = np.random.default_rng(3)
     values = np.where(rng.random(6000) < 0.34, 1.5, rng.normal(size=6000))
     df = spark.createDataFrame([(float(v), None if i % 4 else float(i)) for i, v in enumerate(values)], "x double, y double")
-    got = {(r.feature, r.prob): r.value for r in exact_quantiles(df, ["x", "y"], (0.25, 0.5, 0.975), accuracy).collect()}
+    got = {(r.feature, r.prob): r.value for r in exact_quantiles(df, ["x", "y"], (0.25, 0.5, 0.975), bins, few).collect()}
     for p in (0.25, 0.5, 0.975):
         assert got["x", p] == pytest.approx(np.quantile(values, p), abs=1e-12)
         assert got["y", p] == pytest.approx(np.quantile(np.arange(0, 6000, 4), p), abs=1e-9)
 
 
+def test_quantiles_of_far_apart_and_infinite_values(spark):
+    import numpy as np
+
+    values = [float("-inf"), -1.7e308, -5e-324, 0.0, 5e-324, 1e-324 * 2, 1.0, 1 + 2**-52, 1e15, 1e15 + 1, 1e300, 1.79e308, float("inf")] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r.prob: r.value for r in exact_quantiles(df, ["x"], [i / 38 for i in range(39)], bins=2, few=1).collect()}
+    assert [got[i / 38] for i in range(39)] == sorted(values)
+
+
+def test_quantile_plans_do_not_grow_with_the_columns(spark):
+    """A hundred columns take as many jobs as one and about as long."""
+    import time
+
+    wide = spark.range(2000).selectExpr(*[f"CAST((id * {k + 7}) % 1009 AS DOUBLE) AS c{k}" for k in range(127)])
+    names = wide.columns
+    exact_quantiles(wide, names[:1]).collect()
+    start = time.perf_counter()
+    got = {r.feature: r.value for r in exact_quantiles(wide, names).collect()}
+    assert time.perf_counter() - start < 20 and len(got) == 127
+    assert got["c0"] == sorted((i * 7) % 1009 for i in range(2000))[999] / 2 + sorted((i * 7) % 1009 for i in range(2000))[1000] / 2
+
+
 def test_all_null_and_constant_columns(spark):
     df = spark.createDataFrame([(5.0, None, 0), (5.0, None, 1), (None, None, 1)], "c double, e double, b int")
     assert prep.column_kinds(df, ["c", "e", "b"]) == (["c"], ["e", "b"])

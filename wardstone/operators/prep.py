@@ -150,10 +150,10 @@ class Prep:
         return spark.createDataFrame(rows, "feature string, is_binary int, fill double, mean double, sd double")
 
 
-def fit_prep(train: DataFrame, continuous: Sequence[str], binary: Sequence[str], accuracy: int = 10_000) -> Prep:
+def fit_prep(train: DataFrame, continuous: Sequence[str], binary: Sequence[str]) -> Prep:
     """Medians, means and population deviations of the training rows; binary columns are filled with 0,
     a continuous column without any value too."""
-    medians = {r.feature: r.value for r in exact_quantiles(train, continuous, (0.5,), accuracy).collect()} if continuous else {}
+    medians = {r.feature: r.value for r in exact_quantiles(train, continuous, (0.5,)).collect()} if continuous else {}
     fills = {c: float(medians.get(c, 0.0)) for c in continuous} | {c: 0.0 for c in binary}
     columns = [*continuous, *binary]
     filled = {c: f"coalesce({number_or_null(c)}, {literal(fills[c])})" for c in columns}

@@ -1,84 +1,93 @@
-"""Exact quantiles of many columns, with work that stays bounded per task.
+"""Exact quantiles of many columns, with a plan whose size does not depend on how many there are.
 
-A built-in exact percentile keeps every distinct value of a column in one buffer. Here a first pass counts values, a
-second takes sketches (bounded size, no shuffle of rows) that bracket each quantile, and a third counts what lies below
-and inside the brackets. Only values inside a bracket are then grouped and ranked, in as many intervals as their number
-asks for, so that a sliver of the rows is shuffled and the order statistics are exact.
+Columns become long rows (column, value). Every order statistic that is asked for has an interval of values it must lie
+in, at first the column's whole range. A round counts the values of each interval in equal bins, and the bin with the
+wanted rank becomes the next interval, from its least to its greatest value. Once an interval holds few values, these are
+counted one by one and ranked. Rows are never shuffled, only counts: bins, and at last the few values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wardstone.functions import sqltext
-from wardstone.functions.sqltext import literal, number_or_null
-from wardstone.operators.ordered import PER_PART, running_totals
+from wardstone.functions.sqltext import number_or_null
 
 SCHEMA = "feature string, prob double, value double"
+FEW = 10_000
+# Finite ends of bins where a value is infinite.
+LARGEST = 1.7e308
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), accuracy: int = 10_000
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), bins: int = 256, few: int = FEW
 ) -> DataFrame:
-    """(feature, prob, value), linearly interpolated between order statistics; NULL and NaN are ignored."""
+    """(feature, prob, value), linearly interpolated between order statistics; NULL and NaN are ignored.
+
+    ``bins`` and ``few`` (values left to an interval that is ranked) change the number of rounds, not the result.
+    """
     spark = df.sparkSession
-    number = {c: number_or_null(c) for c in columns}
     if not columns:
         return spark.createDataFrame([], SCHEMA)
-    sizes = df.agg(*[sqltext.column(f"count({number[c]})", f"n{i}") for i, c in enumerate(columns)]).first()
-    asked = [(i, c, p, sizes[f"n{i}"]) for i, c in enumerate(columns) if sizes[f"n{i}"] for p in probs]
-    if not asked:
-        return spark.createDataFrame([], SCHEMA)
+    numbers = ", ".join(number_or_null(c) for c in columns)
+    values = df.select(sqltext.column(f"posexplode(array({numbers}))").alias("c", "v")).where("v IS NOT NULL")
+    sizes = {r.c: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    at = {(c, p): p * (s.n - 1) for c, s in sizes.items() for p in probs}
+    ranks = sorted({(c, rank(x)) for (c, _), x in at.items() for rank in (floor, ceil)})
+    # (column, rank): least and greatest value of its interval, values below it, values in it.
+    where = {(c, r): (sizes[c].low, sizes[c].high, 0, sizes[c].n) for c, r in ranks}
+    found, turn = {}, 0
+    while len(found) < len(where):
+        found |= {k: low for k, (low, high, _, _) in where.items() if low == high}
+        left = [(c, r, *x) for (c, r), x in where.items() if (c, r) not in found]
+        if not left:
+            break
+        wide = [x for x in left if x[5] > few]
+        picked = _binned(values, wide, bins, turn) if wide else _ranked(values, left)
+        for r in picked.collect():
+            where[r.c, r.rank] = (r.low, r.high, r.below, r.n)
+        turn += 1
+    rows = []
+    for (c, p), x in at.items():
+        a, b = found[c, floor(x)], found[c, ceil(x)]
+        rows.append((columns[c], float(p), a if a == b else a + (b - a) * (x - floor(x))))
+    return spark.createDataFrame(rows, SCHEMA)
 
-    # The sketch errs by a rank of n / accuracy, its rounding and the interpolation by less than two ranks.
-    sketched = []
-    for k, (i, c, p, n) in enumerate(asked):
-        margin = 2 / accuracy + 2 / n
-        edges = f"array({literal(max(p - margin, 0.0))}, {literal(min(p + margin, 1.0))})"
-        sketched.append(sqltext.column(f"percentile_approx({number[c]}, {edges}, {accuracy})", f"q{k}"))
-    ends = df.agg(
-        *sketched,
-        *[sqltext.column(f"{f}({number[c]})", f"{f}{i}") for i, c in enumerate(columns) for f in ("min", "max")],
-    ).first()
-    # One bracket per (column, quantile): bounded by the request, whatever the number of rows.
-    brackets = []
-    for k, (i, c, p, n) in enumerate(asked):
-        margin = 2 / accuracy + 2 / n
-        low = ends[f"min{i}"] if p <= margin else ends[f"q{k}"][0]
-        high = ends[f"max{i}"] if p + margin >= 1 else ends[f"q{k}"][1]
-        brackets.append((c, p, float(low), float(high), p * (n - 1)))
-    inside = [f"{number[c]} BETWEEN {literal(low)} AND {literal(high)}" for c, _, low, high, _ in brackets]
-    counts = df.agg(*[
-        sqltext.column(text, f"{short}{k}")
-        for k, (c, _, low, _, _) in enumerate(brackets)
-        for short, text in (("below", f"count_if({number[c]} < {literal(low)})"), ("in", f"count_if({inside[k]})"))
-    ]).first()
-
-    def entry(k: int) -> str:
-        c, p, low, high, at = brackets[k]
-        parts = -(-counts[f"in{k}"] // PER_PART)
-        width = (high - low) / parts or 1.0
-        return (
-            f"CASE WHEN {inside[k]} THEN struct({literal(c)} AS feature, {literal(float(p))} AS prob, "
-            f"{literal(at - counts[f'below{k}'])} AS at, {number[c]} AS v, "
-            f"CAST(floor(({number[c]} - {literal(low)}) / {literal(width)}) AS BIGINT) AS part) END"
-        )
-
-    entries = ", ".join(entry(k) for k in range(len(brackets)))
-    counted = (
-        df.where(" OR ".join(f"({test})" for test in inside))
-        .select(sqltext.column(f"explode(array({entries}))", "e")).where("e IS NOT NULL").select("e.*")
-        .groupBy("feature", "prob", "at", "v", "part").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = running_totals(counted, ["feature", "prob"], [F.col("v")], ["n"], F.col("part"))
-    below, above = F.floor("at"), F.ceil("at")
-    return (
-        ordered.groupBy("feature", "prob", "at")
-        .agg(
-            F.min(F.when(F.col("n_upto") > below, F.col("v"))).alias("a"),
-            F.min(F.when(F.col("n_upto") > above, F.col("v"))).alias("b"),
-        )
-        .select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+def _inside(values: DataFrame, left: list[tuple]) -> DataFrame:
+    """The values of each interval; there is one interval for each rank asked for, so that side is broadcast."""
+    asked = values.sparkSession.createDataFrame(left, "c int, rank long, low double, high double, below long, held long")
+    return values.join(F.broadcast(asked), "c").where("v BETWEEN low AND high")
+
+
+def _chosen(counts: DataFrame, order: str) -> DataFrame:
+    """Of the counted cells of each interval, the one that holds its rank."""
+    upto = F.sum("n").over(Window.partitionBy("c", "rank").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("below", F.col("below") + upto - F.col("n"))
+    return placed.where("below <= rank AND rank < below + n").select("c", "rank", "low", "high", "below", "n")
+
+
+def _binned(values: DataFrame, left: list[tuple], bins: int, turn: int) -> DataFrame:
+    """Equal bins of the values, in every other round of their logarithms: these part orders of magnitude at once, the
+    former part neighbours."""
+    scaled = lambda x: f"least(greatest({x}, {-LARGEST}D), {LARGEST}D)"
+    if turn % 2:
+        scaled = lambda x: f"signum({x}) * least(log1p(abs({x})), 1000D)"
+    v, low, high = scaled("v"), scaled("low"), scaled("high")
+    width = f"({high} - {low})"
+    share = (
+        f"CASE WHEN {width} = 0D THEN 0D WHEN {width} <= {LARGEST}D THEN ({v} - {low}) / {width} "
+        f"ELSE ({v} / 2 - {low} / 2) / ({high} / 2 - {low} / 2) END"
     )
+    cell = F.expr(f"CAST(least(floor({share} * {bins}), {bins - 1}) AS INT)")
+    counts = _inside(values, left).groupBy("c", "rank", "below", cell.alias("bin")).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return _chosen(counts, "bin")
+
+
+def _ranked(values: DataFrame, left: list[tuple]) -> DataFrame:
+    counts = _inside(values, left).groupBy("c", "rank", "below", "v").agg(F.count("*").alias("n"))
+    return _chosen(counts.withColumns({"low": F.col("v"), "high": F.col("v")}), "v")
