@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalogue.registry import Tables, query
 from wardstone.functions import round_columns
-from wardstone.operators import evaluate
+from wardstone.operators import ensemble, evaluate, explain, isotonic, linear
 from wardstone.operators.explain import attribution_ranking, linear_attribution
 from wardstone.plans import rulebook as rules
 
@@ -204,3 +208,125 @@ def _linear(t: Tables):
 )
 def _ranking(t: Tables):
     return attribution_ranking(linear_attribution(t("lineitem"), "l_orderkey", COEFS, MEANS), 2)
+
+
+# A given ensemble over three columns of a line item: (tree, node, feature, cut, left, right, value, weight).
+COLUMNS = ("l_quantity", "l_discount", "l_tax")
+GIVEN = ensemble.node_table([
+    (0, 0, 0, 24.0, 1, 2, 0.0, 800.0), (0, 1, 1, 0.05, 3, 4, 0.0, 300.0), (0, 2, 0, 40.0, 5, 6, 0.0, 500.0),
+    (0, 3, -1, 0.0, -1, -1, 0.5, 100.0), (0, 4, 2, 0.03, 7, 8, 0.0, 200.0), (0, 5, -1, 0.0, -1, -1, -0.25, 400.0),
+    (0, 6, -1, 0.0, -1, -1, 1.0, 100.0), (0, 7, -1, 0.0, -1, -1, -1.0, 50.0), (0, 8, -1, 0.0, -1, -1, 0.125, 150.0),
+    (1, 0, 2, 0.04, 1, 2, 0.0, 800.0), (1, 1, -1, 0.0, -1, -1, 0.25, 200.0), (1, 2, 0, 30.0, 3, 4, 0.0, 600.0),
+    (1, 3, -1, 0.0, -1, -1, -0.5, 150.0), (1, 4, 1, 0.02, 5, 6, 0.0, 450.0), (1, 5, -1, 0.0, -1, -1, 0.75, 225.0),
+    (1, 6, -1, 0.0, -1, -1, -0.125, 225.0), (2, 0, 1, 0.07, 1, 2, 0.0, 800.0), (2, 1, -1, 0.0, -1, -1, 0.5, 600.0),
+    (2, 2, -1, 0.0, -1, -1, -0.375, 200.0),
+])
+
+
+def tree_sql(tree: int, known: Sequence[int]) -> str:
+    """What a given tree yields where only the ``known`` features may be looked at: at the others both branches count by
+    their weights."""
+    nodes = {r.node: r for r in GIVEN[GIVEN["tree"] == tree].itertuples()}
+
+    def say(at: int) -> str:
+        n = nodes[at]
+        if n.left < 0:
+            return repr(n.value)
+        left, right = say(n.left), say(n.right)
+        if n.feature in known:
+            return f"CASE WHEN {COLUMNS[n.feature]} <= {n.cut} THEN {left} ELSE {right} END"
+        return f"({left} * {nodes[n.left].weight / n.weight} + {right} * {nodes[n.right].weight / n.weight})"
+
+    return f"CAST({say(0)} AS DOUBLE)"
+
+
+def _shapley_sql(feature: int) -> str:
+    """All coalitions of the other two features, by their weights."""
+    a, b = (f for f in range(3) if f != feature)
+    gain = lambda s: " + ".join(f"({tree_sql(t, (*s, feature))} - {tree_sql(t, s)})" for t in range(3))
+    return f"(({gain(())}) / 3 + ({gain((a,))}) / 6 + ({gain((b,))}) / 6 + ({gain((a, b))}) / 3)"
+
+
+def _vectors(t: Tables):
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line")
+    returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label")
+    return t("lineitem").select(key, returned, *COLUMNS, array_to_vector(F.array(*COLUMNS)).alias("x"))
+
+
+_STAGES = ", ".join(f"struct_pack(round := {k + 1}, score := {' + '.join(tree_sql(t, (0, 1, 2)) for t in range(k + 1))})" for k in range(3))
+
+
+@query(
+    "staged_auroc",
+    f"""WITH s AS (SELECT label, e.round AS round, e.score AS score FROM (
+  SELECT CAST(l_returnflag = 'R' AS INT) AS label, unnest([{_STAGES}]) AS e FROM lineitem)), {curve_sql('round')}
+SELECT CAST(round AS INT) AS round, round({_AUROC}, 9) AS auroc FROM c GROUP BY round""",
+)
+def _staged(t: Tables):
+    """AUROC of a given ensemble after each of its trees."""
+    out = ensemble.staged_auroc(GIVEN, _vectors(t), "x", "label")
+    return out.select("round", F.round("auroc", 9).alias("auroc"))
+
+
+@query(
+    "given_tree_attribution",
+    " UNION ALL ".join(
+        f"SELECT l_orderkey || '-' || l_linenumber AS line, '{c}' AS feature, round({_shapley_sql(i)}, 9) + 0 AS attribution FROM lineitem"
+        for i, c in enumerate(COLUMNS)
+    ),
+)
+def _given_attribution(t: Tables):
+    """Shapley values of a given ensemble; the SQL goes through all coalitions of features."""
+    out = explain.path_attribution(GIVEN, _vectors(t), "x", COLUMNS, "line")
+    return out.select("line", "feature", (F.round("attribution", 9) + F.lit(0.0)).alias("attribution"))
+
+
+@query(
+    "attribution_points",
+    f"""WITH a AS (SELECT l_orderkey || '-' || l_linenumber AS line, l_discount, round({_shapley_sql(1)}, 9) + 0 AS attribution FROM lineitem)
+SELECT line, 'l_discount' AS feature, l_discount AS value,
+  round((l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ()), 9) + 0 AS share, attribution FROM a""",
+)
+def _points(t: Tables):
+    """The table of a bee-swarm: attributions next to the values they belong to."""
+    lines = _vectors(t)
+    parts = explain.path_attribution(GIVEN, lines, "x", COLUMNS, "line")
+    out = explain.attribution_points(parts, lines, "line", ["l_discount"])
+    return out.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("share", "attribution")})
+
+
+@query(
+    "isotonic_calibration",
+    f"""WITH {SCORED_SQL}, g AS (SELECT score, sum(label) AS pos, count(*) AS n FROM s GROUP BY score),
+c AS (SELECT score, pos, n, sum(pos) OVER w AS p, sum(n) OVER w AS m, row_number() OVER w AS i FROM g WINDOW w AS (ORDER BY score)),
+m AS (SELECT a.i AS a, b.i AS b, (b.p - a.p + a.pos) / CAST(b.m - a.m + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON a.i <= b.i),
+least AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m)
+SELECT score, max(low) AS calibrated FROM least JOIN c ON c.i = b GROUP BY score""",
+)
+def _isotonic(t: Tables):
+    """The calibrated value of every score; the SQL is the greatest of the least means of runs around it."""
+    rows = scored(t)
+    curve = isotonic.Calibration.of(isotonic.isotonic_blocks(rows, "score", "label", per_part=50))
+    return rows.select("score").distinct().select("score", curve(F.col("score")).alias("calibrated"))
+
+
+_GIVEN_FITS = [([0.01, -2.0, 3.0], -1.0), ([0.0, 0.0, 0.0], -0.5), ([-0.02, 0.0, 1.5], 0.25)]
+_MARGIN = lambda w, b: f"({' + '.join(f'{x} * {c}' for x, c in zip(w, COLUMNS))} + {b})"
+
+
+@query(
+    "fit_gradients",
+    " UNION ALL ".join(
+        f"""SELECT {f} AS fold, {m} AS model, {j} AS feature,
+  round(avg((1 / (1 + exp(-{_MARGIN(w, b)})) - CAST(l_returnflag = 'R' AS INT)) * {x}), 7) + 0 AS gradient
+FROM lineitem WHERE l_linenumber % 2 <> {f}"""
+        for f in range(2) for m, (w, b) in enumerate(_GIVEN_FITS) for j, x in enumerate((*COLUMNS, "1.0"))
+    ),
+)
+def _gradients(t: Tables):
+    """Mean gradients of given fits over the rows outside their folds: what the certificates of a path rest on."""
+    fold = (F.col("l_linenumber") % 2).alias("fold")
+    rows = t("lineitem").select(fold, F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"), array_to_vector(F.array(*COLUMNS)).alias("x"))
+    fits = [linear.Linear(np.array(w), b) for w, b in _GIVEN_FITS]
+    out = linear.gradients(rows, "x", "label", "fold", {0: fits, 1: fits})
+    return out.withColumn("gradient", F.round("gradient", 7) + F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogue import model_queries
 from catalogue.registry import Tables
-from wardstone.operators import evaluate, explain, models, prep
+from wardstone.operators import ensemble, evaluate, explain, isotonic, models, prep
 from wardstone.plans import modelling
 
 
@@ -75,12 +75,44 @@ def test_scaled_training_columns_have_unit_population_deviation(prepared):
 
 
 def test_best_round_waits_for_patience():
-    losses = [5, 4, 4.5, 4.4, 3, 3.5, 3.6, 3.7, 1]
-    assert models.best_round(losses, 2) == 2
-    assert models.best_round(losses, 3) == 5
-    assert models.best_round(losses, 30) == 9
+    aurocs = [0.5, 0.6, 0.55, 0.56, 0.7, 0.65, 0.64, 0.63, 0.9]
+    assert models.best_round(aurocs, 2) == 2
+    assert models.best_round(aurocs, 3) == 5
+    assert models.best_round(aurocs, 30) == 9
 
 
+def test_staged_margins_and_the_cut_model_agree_with_the_fit(spark, prepared):
+    train = prep.class_weights(prepared[0].where("is_test = 0"), "label", 2.0)
+    model = models.boosted("raw", rounds=4, depth=3, weight="weight").fit(train)
+    nodes = ensemble.model_nodes(model, spark)
+    rows = models.score(model, train, "p").select("raw", "p").limit(50).collect()
+    margins = ensemble.staged_margins(nodes, np.stack([r.raw.toArray() for r in rows]))
+    assert 1 / (1 + np.exp(-margins[:, -1])) == pytest.approx([r.p for r in rows])
+    shorter = ensemble.cut_model(model, 2)
+    assert shorter.getNumTrees == 2
+    rows = models.score(shorter, train, "p").select("raw", "p").limit(50).collect()
+    margins = ensemble.staged_margins(nodes, np.stack([r.raw.toArray() for r in rows]))
+    assert 1 / (1 + np.exp(-margins[:, 1])) == pytest.approx([r.p for r in rows])
+
+
+def test_path_scores_and_certificates(spark, prepared):
+    train = prepared[0].where("is_test = 0")
+    n = train.count()
+    path = models.l1_path(train, "scaled", "fold", grid=[(c, 1 / (c * n)) for c in (0.01, 0.1, 1.0)], k=3, max_iter=1000)
+    held = {c: models.cross_validated_auroc(models.lasso("scaled", reg, max_iter=1000), train, "fold", k=3) for c, reg, *_ in path.cv}
+    for c, _, mean, sd, violation in path.cv:
+        assert (mean, sd) == pytest.approx(held[c], abs=1e-6) and violation < 0.05
+    rough = models.l1_path(train, "scaled", "fold", grid=[(1.0, 1 / n)], k=3, max_iter=1)
+    assert rough.cv[0][-1] > path.cv[2][-1]
+
+
+def test_blocks_do_not_depend_on_the_intervals(spark):
+    df = scores(spark)
+    one, many = (sorted(tuple(r) for r in isotonic.isotonic_blocks(df, "score", "label", n).collect()) for n in (250_000, 3))
+    assert one == many and len(one) > 3
+    assert all(a[1] < b[0] and a[4] < b[4] for a, b in zip(one, one[1:]))
+    assert isotonic.isotonic_blocks(df.limit(0), "score", "label").count() == 0
+
 def test_fewer_rounds_grow_the_same_leading_trees(prepared):
     train = prep.class_weights(prepared[0].where("is_test = 0"), "label", 2.0)
     grow = lambda n: [t.toDebugString.split("\n", 1)[1] for t in models.boosted("raw", rounds=n, depth=3, weight="weight").fit(train).trees]
