@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.session import cut_lineage
+
 COMMON = 50_000
 BUCKETS = 8192
 # At most so many rare words are remembered in a task.
@@ -77,10 +79,19 @@ def fold_merges(word: Column, table: Column) -> Column:
 
 
 def common_words(docs: DataFrame, pattern: str, most: int, text: str = "text") -> DataFrame:
-    """The ``most`` most frequent matches of the pattern in all texts, ties by the word."""
+    """The most frequent matches of the pattern in all texts, at most ``most``: those above a count. The counts are
+    written once; a histogram over sixteenths of powers of two, a few hundred rows, says where the cut lies, so that no
+    task sends more than the words that are kept."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("(?U)" + pattern), F.lit(0))).alias("word"))
-    counted = found.groupBy("word").count().where(F.col("word") != "")
-    return counted.orderBy(F.desc("count"), "word").limit(most)
+    counted = found.groupBy("word").count().where((F.col("word") != "") & (F.col("count") > 1))
+    counted = cut_lineage(counted.withColumn("height", F.floor(16 * F.log2("count")).cast("int")))
+    lowest, above = 2**31 - 1, 0
+    for height, words in sorted(counted.groupBy("height").agg(F.count("*")).collect(), reverse=True):
+        above += words
+        if above > most:
+            break
+        lowest = height
+    return counted.where(F.col("height") >= lowest).select("word")
 
 
 def encode_words(words: DataFrame, ranks) -> DataFrame:
