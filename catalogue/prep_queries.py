@@ -271,3 +271,17 @@ def _vector(t: Tables):
     return picked.select(
         "doc_id", x[1].alias("second"), x[5].alias("sixth"), F.size(x).alias("width"), p[0].alias("picked_first"), p[1].alias("picked_second")
     )
+
+
+@query(
+    "contiguous_folds",
+    """WITH c AS (SELECT o_orderstatus AS label, count(*) AS n, min(o_orderkey) AS head FROM orders GROUP BY 1),
+s AS (SELECT label, n, sum(n) OVER (ORDER BY head) - n AS start FROM c),
+runs AS (SELECT label, i, sum((start + n - i + 4) // 5 - (start - i + 4) // 5) OVER (PARTITION BY label ORDER BY i) AS upto
+  FROM s, range(5) f(i)),
+r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank FROM orders)
+SELECT o_orderkey, o_orderstatus, CAST((SELECT count(*) FROM runs WHERE label = o_orderstatus AND upto < rank) AS INT) AS fold FROM r""",
+)
+def _contiguous(t: Tables):
+    rows = t("orders").select("o_orderkey", "o_orderstatus")
+    return prep.contiguous_folds(rows, "o_orderstatus", "o_orderkey", 5, per_part=4000)
