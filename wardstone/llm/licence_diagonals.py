@@ -3,12 +3,14 @@
 Every window of three words of every text is hashed and joined to the places where the templates hold that window; the
 words themselves are then compared, so a hash match alone never counts. A match votes for its diagonal (place in the text
 minus place in the template). Votes are added up per diagonal, neighbouring diagonals (words put in or left out) are
-merged, and a merged run is verified by the share of the template's windows that it covers.
+merged, and a merged run is verified: by the share of the template's different places that lie on diagonals at most
+``DRIFT`` apart, the best such stretch of the run. A window that a text repeats counts once.
 
 The template side is broadcast: it is a parameter of at most ``MOST_GRAMS`` windows, checked. Texts stream past it
 without a shuffle; what is shuffled is one row a document and one a voted diagonal, combined before the exchange.
 
-Null and empty texts have no words; texts of one or two words have no window. Repeated rows are scanned one by one. The
+Null and empty texts have no words; texts of one or two words have no window. A very long text is scanned whole; what it
+keeps is one row a voted diagonal. Repeated rows are scanned one by one. The
 scan reads doc_id and text only, so further columns don't matter.
 """
 
@@ -42,6 +44,7 @@ TEMPLATES = {
 NAMES = {"gpl-notice": "gpl"}
 ENOUGH = 0.6
 NEAR = 3
+DRIFT = 12
 
 
 def words_of(text: Column) -> Column:
@@ -79,7 +82,7 @@ def votes(spark: SparkSession, docs: DataFrame, **templates) -> DataFrame:
     at = F.when(F.col("template").isNotNull(), F.col("at"))
     return found.groupBy("row", "doc_id", "n_words", "template", "is_base", "windows", (at - F.col("place")).alias("diagonal")).agg(
         F.count("template").alias("votes"), F.min(at).alias("lo"), F.max(at).alias("hi"),
-        F.min("place").alias("place_lo"), F.max("place").alias("place_hi"))
+        F.collect_set("place").alias("places"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
@@ -87,13 +90,15 @@ def spans(voted: DataFrame) -> DataFrame:
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     run = voted.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= NEAR, 0).otherwise(1))
     run = run.withColumn("run", F.sum("new").over(by))
+    stretch = Window.partitionBy("row", "template", "run").orderBy("diagonal").rangeBetween(0, DRIFT)
+    run = run.withColumn("covered", F.size(F.array_distinct(F.flatten(F.collect_list("places").over(stretch)))))
     return run.groupBy("row", "doc_id", "n_words", "template", "is_base", "run").agg(
         F.min("diagonal").alias("diagonal"), F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"),
-        F.max("votes").alias("best"), F.max("windows").alias("windows"), F.sum("votes").alias("votes"),
+        F.max("votes").alias("best"), F.max("windows").alias("windows"), F.sum("votes").alias("votes"), F.max("covered").alias("covered"),
         F.sum(F.when(F.col("votes") == F.col("windows"), 1).otherwise(0)).alias("whole"),
         F.min(F.when(F.col("votes") == F.col("windows"), F.col("diagonal"))).alias("whole_first"),
         F.max(F.when(F.col("votes") == F.col("windows"), F.col("diagonal"))).alias("whole_last"),
-    ).withColumn("score", F.when(F.col("windows") > 0, F.least(F.lit(1.0), F.col("votes") / F.col("windows"))).otherwise(0.0))
+    ).withColumn("score", F.when(F.col("windows") > 0, F.col("covered") / F.col("windows")).otherwise(0.0))
 
 
 def report(spark: SparkSession, docs: DataFrame, **templates) -> DataFrame:
@@ -124,13 +129,15 @@ def sql(source: str = "documents") -> str:
 WITH t(gram, template, is_base, place, windows) AS (VALUES {rows}),
 d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {source}),
 g AS (SELECT rid, unnest(range(0, len(w) - 2)) AS pos, w FROM d WHERE len(w) >= 3),
-v AS (SELECT rid, template, is_base, windows, pos - place AS diagonal, count(*) AS votes
+v AS (SELECT rid, template, is_base, windows, pos - place AS diagonal, count(*) AS votes, list(place) AS places
       FROM g JOIN t ON t.gram = w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] GROUP BY ALL),
 r AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
 q AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM r),
-s AS (SELECT rid, template, is_base, least(1.0, sum(votes) / max(windows)) AS score, count_if(votes = windows) AS whole,
+p AS (SELECT *, len(list_distinct(flatten(list(places) OVER (PARTITION BY rid, template, run ORDER BY diagonal
+        RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)))) AS covered FROM q),
+s AS (SELECT rid, template, is_base, max(covered) / max(windows) AS score, count_if(votes = windows) AS whole,
         min(CASE WHEN votes = windows THEN diagonal END) AS a, max(CASE WHEN votes = windows THEN diagonal END) AS z
-      FROM q GROUP BY rid, template, is_base, run),
+      FROM p GROUP BY rid, template, is_base, run),
 f AS (SELECT rid, sum(whole) FILTER (is_base) AS n_base, min(a) FILTER (is_base) AS first_word, max(z) FILTER (is_base) AS last_word,
         string_agg(DISTINCT {label}, ',' ORDER BY {label}) FILTER (is_base AND whole > 0) AS base_labels,
         string_agg(DISTINCT {label}, ',' ORDER BY {label}) FILTER (is_base AND whole > 0 OR NOT is_base AND score >= {ENOUGH}) AS labels,
