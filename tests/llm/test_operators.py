@@ -289,3 +289,26 @@ def test_pipeline_matches_its_stages_by_hand(spark, base):
     assert out == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} and 0 < len(out) < 200
     good = line_rules.report(spark.read.parquet(f"{base}/documents.parquet")).where(F.col("kept")).count()
     assert len(out) >= 0.5 * good
+
+
+def test_repeated_words_of_a_template_are_no_licence(spark):
+    mit = licence_diagonals.TEMPLATES["mit"].split()
+    texts = [" ".join(["of the software"] * 40), " ".join(mit), " ".join(mit[:30] + ["so", "to", "say"] + mit[30:]),
+             " ".join(w + " filler" * 9 for w in mit)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licence_diagonals.report(spark, rows).collect()}
+    assert got[0][0] == "" and got[0][1] < 0.1 and got[1] == ("mit", 1.0) and got[2][0] == "mit" and got[3][0] == ""
+
+
+@pytest.mark.parametrize("size", [1.0, 250.0, 2e7, 5e15])
+def test_top_k_scores_are_exact_at_every_size(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=64) * size]) for i in range(120)]
+    rows += [(200, [1e30] * 64), (201, [-1e300] * 64)] if size > 1e15 else []
+    got = segment_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=10).collect()
+    whole = {i: [int(np.floor(min(max(256 * x, -(2.0**62)), 2.0**62))) for x in v] for i, v in rows}
+    for query in (i for i in whole if i % 10 == 0):
+        held = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+        scores = [(-held(sum(a * b for a, b in zip(whole[query], v))), i) for i, v in whole.items() if i != query]
+        want = [(i, -s) for s, i in sorted(scores)[:4]]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == want

@@ -11,7 +11,9 @@ holds one block of queries and one batch of candidates, whatever the size of the
 
 Vectors that are null, empty or hold a null or non-finite component take no part; repeated ids are separate candidates,
 except a query's own id, which is never one. Shorter vectors count as padded with zeros. Fewer than k candidates: all.
-Components beyond 2**24 / scale are outside the range in which sums are exact integers and raise an error.
+Scores are exact integers at every size: sums that doubles hold exactly go through matrix products, larger ones through
+64-bit integers and, where these could overflow, through Python's. Scaled components are held within 2**62 either way and
+scores within a long, beyond which neither has a number; where scores are held, no candidate is left out by its bound.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     held = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine)
-    whole = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("int"))
+    whole = F.transform(v, lambda x: F.floor(F.least(F.greatest(
+        x.cast("double") * F.lit(float(scale)), F.lit(-float(2**62))), F.lit(float(2**62)))))
     return held.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
@@ -42,7 +45,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     def pack(batches):
         def out(block, ids, vs):
             dims = max(map(len, vs))
-            m = np.zeros((len(vs), dims), "<i4")
+            m = np.zeros((len(vs), dims), "<i8")
             for i, v in enumerate(vs):
                 m[i, : len(v)] = v
             return pa.RecordBatch.from_pydict({
@@ -65,10 +68,14 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _unpack(ids, dims, data, width):
-    m = np.frombuffer(data, "<i4").reshape(-1, dims)
-    if m.size and np.abs(m).max() > 2**24:
-        raise ValueError("components are too large for exact sums")
-    return np.frombuffer(ids, "<i8"), np.pad(m, ((0, 0), (0, width - dims))).astype(np.float64)
+    m = np.frombuffer(data, "<i8").reshape(-1, dims)
+    return np.frombuffer(ids, "<i8"), np.pad(m, ((0, 0), (0, width - dims)))
+
+
+def exact_kind(q: np.ndarray, c: np.ndarray):
+    """The type in which every sum of products of these integers is exact."""
+    most = q.shape[1] * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
+    return np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
 
 
 def statistics(m: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +91,11 @@ def best_of_chunk(q_ids, q, c_ids, c, k):
     """query position, candidate id, score: per query its k best of the chunk, ties to smaller ids."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
+    kind = exact_kind(q, c)
+    whole_q, whole_c = q.astype(kind), c.astype(kind)
+    q, c = q.astype(np.float64), c.astype(np.float64)
+    # what rounding may take from a bound or add to the first guess, by Cauchy's inequality
+    lost = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
     # k + 1 leave room for the query itself; a first guess: exact products with the candidates of largest coarse bound
     stats = {n: (statistics(q, n), statistics(c, n)) for n in LEVELS}
     (qm, qd), (cm, cd) = stats[LEVELS[-1]]
@@ -92,19 +104,23 @@ def best_of_chunk(q_ids, q, c_ids, c, k):
     first[q_ids[:, None] == c_ids[some][None, :]] = -np.inf
     floor = -np.sort(-first, axis=1)[:, k - 1] if first.shape[1] >= k else np.full(len(q), -np.inf)
     alive = np.ones((len(q), len(c)), bool)
-    for n in LEVELS:
+    for n in LEVELS if kind is not object else ():
         rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(rows) or not len(cols):
             break
         (qm, qd), (cm, cd) = stats[n]
         bound = qm[rows] @ cm[cols].T + qd[rows] @ cd[cols].T
-        slack = 1e-6 * (1 + np.abs(bound))
+        slack = 1e-6 * (1 + np.abs(bound)) + lost[np.ix_(rows, cols)]
         alive[np.ix_(rows, cols)] &= bound + slack >= floor[rows, None]
     for i in range(len(q)):
         cols = np.flatnonzero(alive[i])
         cols = cols[c_ids[cols] != q_ids[i]]
-        scores = c[cols] @ q[i]
-        top = np.lexsort((c_ids[cols], -scores))[:k]
+        scores = whole_c[cols] @ whole_q[i]
+        if kind is object:
+            scores = [max(-(2**63) + 1, min(2**63 - 1, int(s))) for s in scores]
+            top = sorted(range(len(cols)), key=lambda j: (-scores[j], c_ids[cols[j]]))[:k]
+        else:
+            top = np.lexsort((c_ids[cols], -scores))[:k]
         for j in top:
             yield i, int(c_ids[cols[j]]), int(scores[j])
 
@@ -119,9 +135,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     queries = _pack(asked.repartition("block").sortWithinPartitions("block"), block).select(
         "block", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
     parts = _pack(rows.withColumn("block", F.lit(0)), chunk).drop("block")
-    # blocks of a stated query set against chunks of all rows
-    pairs = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, "block").select(
-        *parts.columns, *queries.columns[1:])
+    # Blocks of a stated query set against chunks of all rows. Chunks fall into groups, so that there are as many keys
+    # (block, group) as tasks, however few blocks there are.
+    groups = -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    group = F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    pairs = parts.select("*", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(
+        queries.withColumn("group", every_group), ["block", "group"]).select(*parts.columns, *queries.columns[1:])
 
     def search(batches):
         for b in batches:
