@@ -312,3 +312,16 @@ def test_top_k_scores_are_exact_at_every_size(spark, size):
         scores = [(-held(sum(a * b for a, b in zip(whole[query], v))), i) for i, v in whole.items() if i != query]
         want = [(i, -s) for s, i in sorted(scores)[:4]]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == want
+
+
+CLASHING = ("_words", "_lines", "_key", "_id", "_gone", "_odds", "_tokens", "_nth", "_row", "rank", "cell")
+
+
+@pytest.mark.parametrize("stage", [line_rules.keep_clean, line_windows.without_later_lines, rake.sample, ngram_join.one_of_each])
+def test_stages_keep_the_values_of_clashing_columns(spark, base, stage):
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    out = stage(docs.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHING]))
+    assert out.columns == [*docs.columns, *CLASHING]
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(docs).collect())

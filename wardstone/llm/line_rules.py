@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstone.session import cut_lineage
+from wardstone.llm.columns import any_names
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -131,6 +132,7 @@ def report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
+@any_names
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, without their failed lines; ``n_chars`` follows the text where it is a column."""
     r = F.col("_rules")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from wardstone.llm.columns import any_names
 
 BLANK = r"^[\x20\x09-\x0D]*|[\x20\x09-\x0D]*$"
 
@@ -75,6 +76,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return joined.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns), "_lines")
 
 
+@any_names
 def without_later_lines(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left go. ``n_chars`` follows."""
     out = dedup(docs).where((F.col("_lines.n_removed") == 0) | (F.trim("text") != "")).drop("_lines")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from wardstone.llm.line_rules import words_of
 from wardstone.session import cut_lineage
+from wardstone.llm.columns import any_names
 
 MARGINS = ("source", "lang", "topic")
 # A text's topic is the first of these whose wording it holds; the rest is "general".
@@ -119,6 +120,7 @@ def calibrated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ).alias("_mix"))
 
 
+@any_names
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return calibrated(docs, mix).where("_mix.sampled").drop("_mix")
 
