@@ -383,6 +383,24 @@ UNION ALL SELECT 'procedures', count(*) FROM vents
 UNION ALL SELECT 'diagnoses', count(*) FROM codes WHERE {' + '.join(r.flag for r in rules.CODE_FLAGS)} > 0""",
     lambda d: plan.sanity_counts(d),
 )
+_DAY = "BETWEEN intime AND intime + INTERVAL 24 HOUR"
+family_query(
+    "study_table_counts",
+    ALL + f"""
+SELECT 'icu_seq' AS tbl, count(*) AS n FROM icustays
+UNION ALL SELECT 'cam_assessments', count(*) FROM cam
+UNION ALL SELECT 'sofa_components', count(DISTINCT stay_id) FROM icustays
+UNION ALL SELECT 'vitals_24h', count(DISTINCT stay_id) FROM chartevents JOIN icustays USING (stay_id)
+  WHERE itemid IN ({_members(rules.VITAL_ITEMS)}) AND valuenum IS NOT NULL AND charttime {_DAY}
+UNION ALL SELECT 'labs_24h', count(DISTINCT stay_id) FROM labevents JOIN icustays USING (hadm_id) WHERE valuenum IS NOT NULL AND charttime {_DAY}
+UNION ALL SELECT 'medications_24h', count(DISTINCT stay_id) FROM inputevents JOIN icustays USING (stay_id) WHERE starttime {_DAY}
+UNION ALL SELECT 'fluid_balance_24h', count(*) FROM (
+  SELECT stay_id FROM inputevents JOIN icustays USING (stay_id) WHERE amountuom IN ('ml', 'mL') AND starttime {_DAY}
+  UNION SELECT stay_id FROM outputevents JOIN icustays USING (stay_id) WHERE charttime {_DAY})
+UNION ALL SELECT 'pain_scores_24h', count(DISTINCT stay_id) FROM chartevents JOIN icustays USING (stay_id)
+  WHERE itemid = 223791 AND valuenum IS NOT NULL AND charttime {_DAY}""",
+    lambda d: plan.study_table_counts(d),
+)
 family_query(
     "cohort_profile",
     ALL + """, kept AS (SELECT * FROM final WHERE is_first_icu_stay = 1 AND age >= 18)

@@ -313,6 +313,29 @@ def sanity_counts(tables: Mapping[str, DataFrame], options: Options = Options())
     return row_counts({"stays": anchors(tables), **feature_tables(tables, options)})
 
 
+def study_table_counts(tables: Mapping[str, DataFrame], options: Options = Options()) -> DataFrame:
+    """Rows of the eight tables that the study counts before its export. Of an event table only keys and times are read,
+    and stays are made distinct before they move."""
+    stays = anchors(tables).drop("hadm_id")
+
+    def on_day_one(events: DataFrame, time: str, on: str = "stay_id", side: DataFrame = stays) -> DataFrame:
+        return within_window(events.select(on, time), side, on, time, "intime", *rules.DAY_ONE).select("stay_id").distinct()
+
+    measured = tables["chartevents"].where("valuenum IS NOT NULL")
+    inputs, outputs = tables["inputevents"], tables["outputevents"]
+    come, gone = on_day_one(inputs.where(IS_VOLUME), "starttime"), on_day_one(outputs, "charttime")
+    return row_counts({
+        "icu_seq": stays,
+        "cam_assessments": assessment_features(tables, options).where("cam_screened = 1"),
+        "sofa_components": stays.select("stay_id").distinct(),
+        "vitals_24h": on_day_one(measured.where(sqltext.member("itemid", rules.VITAL_ITEMS)), "charttime"),
+        "labs_24h": on_day_one(tables["labevents"].where("valuenum IS NOT NULL"), "charttime", "hadm_id", anchors(tables)),
+        "medications_24h": on_day_one(inputs, "starttime"),
+        "fluid_balance_24h": come.union(gone).distinct(),
+        "pain_scores_24h": on_day_one(measured.where("itemid = 223791"), "charttime"),
+    })
+
+
 def feature_names(columns, sparse=rules.SPARSE, non_numeric=rules.NON_NUMERIC) -> list[str]:
     """Columns of the analytic table that are features."""
     out = {*rules.NOT_FEATURES, *rules.LEAKAGE, *sparse, *non_numeric}

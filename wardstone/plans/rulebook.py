@@ -306,3 +306,6 @@ PUBLISHED_DIGITS = {
     "auroc": 3, "pr_auc": 3, "cv_auroc_mean": 3, "cv_auroc_sd": 3, "ci_95_lo": 3, "ci_95_hi": 3, "brier": 4,
     "boosted_auroc": 3, "boosted_ap": 3, "lr_auroc": 3, "lr_ap": 3, "prevalence_pct": 1, "pct_missing": 1,
 }
+
+# Items that make a stay part of the vitals table: fixed values.
+VITAL_ITEMS = (220045, 220050, 220179, 220052, 220181, 225312, 220277, 220210, 223761, 223762)
