@@ -98,10 +98,10 @@ def test_staged_margins_and_the_cut_model_agree_with_the_fit(spark, prepared):
 def test_path_scores_and_certificates(spark, prepared):
     train = prepared[0].where("is_test = 0")
     n = train.count()
-    path = models.l1_path(train, "scaled", "fold", grid=[(c, 1 / (c * n)) for c in (0.01, 0.1, 1.0)], k=3, max_iter=1000)
+    path = models.l1_path(train, "scaled", "fold", grid=[(c, 1 / (c * n)) for c in (0.01, 0.1, 1.0)], k=3)
     held = {c: models.cross_validated_auroc(models.lasso("scaled", reg, max_iter=1000), train, "fold", k=3) for c, reg, *_ in path.cv}
     for c, _, mean, sd, violation in path.cv:
-        assert (mean, sd) == pytest.approx(held[c], abs=1e-6) and violation < 0.05
+        assert (mean, sd) == pytest.approx(held[c], abs=0.01) and violation < 1e-3
     rough = models.l1_path(train, "scaled", "fold", grid=[(1.0, 1 / n)], k=3, max_iter=1)
     assert rough.cv[0][-1] > path.cv[2][-1]
 

@@ -140,7 +140,7 @@ def fit_and_evaluate(
     n_train = train.count()
     grid = [(c, 1 / (c * n_train)) for c in s.penalties] if s.penalties else models.penalty_grid(n_train)
     path = models.l1_path(
-        train, "scaled", "fold", grid=grid, k=s.folds, max_iter=s.max_iter, parallelism=s.parallelism
+        train, "scaled", "fold", grid=grid, k=s.folds
     )
     chosen = models.selected_features(path.model, fitted.columns)
     if not chosen:
