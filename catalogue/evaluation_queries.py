@@ -248,7 +248,7 @@ def _shapley_sql(feature: int) -> str:
 
 
 def _vectors(t: Tables):
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("line")
     returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label")
     return t("lineitem").select(key, returned, *COLUMNS, array_to_vector(F.array(*COLUMNS)).alias("x"))
 
@@ -271,7 +271,7 @@ def _staged(t: Tables):
 @query(
     "given_tree_attribution",
     " UNION ALL ".join(
-        f"SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, '{c}' AS feature, round({_shapley_sql(i)}, 9) + 0 AS attribution FROM lineitem"
+        f"SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) AS line, '{c}' AS feature, round({_shapley_sql(i)}, 9) + 0 AS attribution FROM lineitem"
         for i, c in enumerate(COLUMNS)
     ),
 )
@@ -283,7 +283,7 @@ def _given_attribution(t: Tables):
 
 @query(
     "attribution_points",
-    f"""WITH a AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, l_discount, round({_shapley_sql(1)}, 9) + 0 AS attribution FROM lineitem)
+    f"""WITH a AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) AS line, l_discount, round({_shapley_sql(1)}, 9) + 0 AS attribution FROM lineitem)
 SELECT line, 'l_discount' AS feature, l_discount AS value,
   round((l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ()), 9) + 0 AS share, attribution FROM a""",
 )
