@@ -344,3 +344,52 @@ def test_mixing_hands_on_what_a_full_cell_cannot_give(spark):
     got = {(r.source, r.lang): r.weight for r in rake.raked(cells, mix).collect()}
     assert got["a", "x"] + got["b", "x"] == pytest.approx(110, rel=0.05) and got["a", "x"] == pytest.approx(10)
     assert sum(got.values()) == pytest.approx(160, rel=0.02)
+
+
+@pytest.fixture
+def families(words):
+    """Families of texts that drift away from each other step by step, under passages they share; some rows lack an id."""
+    rng = np.random.default_rng(17)
+    shared, rows = words(60), []
+    for family in range(6):
+        start = words(100).split()
+        for member in range(25):
+            w = list(start)
+            for at in rng.integers(0, 100, rng.integers(0, 7)):
+                w[at] = words(1)
+            if member % 3 == 0:
+                start = w
+            rows.append((len(rows) if member % 7 else None, " ".join(w) + " " + shared))
+    rows += [(1000 + n, words(60) + " " + shared) for n in range(10)] + [(1010, None), (1011, ""), (1012, rows[1][1])]
+    return rows
+
+
+def brute_classes(rows):
+    """As ``brute_components``, for rows that may lack an id: by row, the smallest id of its component."""
+    parts = brute_components(list(enumerate(t for _, t in rows)))
+    least = defaultdict(list)
+    for k, (_, part) in parts.items():
+        if rows[k][0] is not None:
+            least[part].append(rows[k][0])
+    return Counter((i, parts[k][0], min(least[parts[k][1]], default=None)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("sizes", [(2048, 1 << 20, 512), (8, 600, 30)])
+def test_ngram_join_of_drifting_families(spark, monkeypatch, families, sizes):
+    for name, size in zip(("BLOCK", "WINDOWS", "PIECE"), sizes):
+        monkeypatch.setattr(ngram_join, name, size)
+    want = brute_classes(families)
+    assert 6 < len({part for _, _, part in want}) < len(families) - 40
+    docs = spark.createDataFrame(families, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(docs).collect()) == want
+
+
+def test_cells_send_on_fewer_links_than_components(words):
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 2**64 - 1, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, 12)), rng.integers(0, 2**64 - 1, 3, dtype=np.uint64)])) for _ in range(80)]
+    node, part = np.arange(80), np.arange(80) // 4
+    links = list(ngram_join.joining_links(node, part, np.zeros(80, int), True, sets))
+    assert len(links) == 19 and all(part[a] != part[b] for a, b in links)
+    sides = [(a, b) for a, b in ngram_join.joining_links(node, part, node % 2, False, sets)]
+    assert len(sides) == 19 and all(a % 2 != b % 2 for a, b in sides)
