@@ -374,9 +374,9 @@ def brute_classes(rows):
     return Counter((i, parts[k][0], min(least[parts[k][1]], default=None)) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("sizes", [(2048, 1 << 20, 512), (8, 600, 30)])
+@pytest.mark.parametrize("sizes", [(2048, 1 << 20, 512, 768), (8, 600, 30, 156)])
 def test_ngram_join_of_drifting_families(spark, monkeypatch, families, sizes):
-    for name, size in zip(("BLOCK", "WINDOWS", "PIECE"), sizes):
+    for name, size in zip(("BLOCK", "WINDOWS", "PIECE", "LONG"), sizes):
         monkeypatch.setattr(ngram_join, name, size)
     want = brute_classes(families)
     assert 6 < len({part for _, _, part in want}) < len(families) - 40
