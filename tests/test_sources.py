@@ -1,8 +1,10 @@
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from wardstone.operators import profile
+from wardstone.session import cut_lineage, forget
 from wardstone.sources import load_tables, materialise, read_csv, read_optional, write_bucketed, write_csv
 
 
@@ -41,6 +43,18 @@ def test_bucketed_tables_aggregate_and_join_without_a_shuffle(spark, base):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_forgotten_tables_are_deleted_and_others_stay(spark, tmp_path):
+    kept, gone = cut_lineage(spark.range(5)), cut_lineage(spark.range(7))
+    folder = gone.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    own = spark.read.parquet(f"{tmp_path}/own")
+    out = cut_lineage(gone.join(kept, "id"))
+    forget(gone, own, kept.where("id > 1"))
+    forget(gone)
+    assert not os.path.exists(folder)
+    assert (kept.count(), own.count(), out.count()) == (5, 3, 5)
+
+
 def test_column_helpers(spark):
     df = spark.createDataFrame([(1, 2, 3)], "race_coded int, Ethnic int, age int")
     assert profile.find_columns(df, ["RACE", "ethnic"]) == ["race_coded", "Ethnic"]

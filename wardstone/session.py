@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables that cut_lineage wrote, and where.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 # Runtime settings the operators count on. None of them is a size guess about the data:
 # broadcasts are left to Spark, which only makes one for a side it measured below the threshold,
 # and a hot join key is split at run time even when that costs one more (pre-aggregated) exchange.
@@ -48,7 +52,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor, they read only the columns they use, and joins know its size. Vector columns keep their feature names."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` returned, once all that reads them is written itself: then no later job, and no
+    task repeated after a lost executor, asks for them. Other DataFrames are left alone."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def local_session(cpus: str = "8", app: str = "wardstone") -> SparkSession:
