@@ -148,6 +148,27 @@ def test_all_null_and_constant_columns(spark):
     assert all(r.z_c == 0 and r.z_e == 0 and r.c == 5 and r.e == 0 for r in out)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_of_buckets_in_groups(spark, descending):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), x, rng.choice([None, 1, 5])) for x in rng.sample(range(4000), 300)]
+    df = spark.createDataFrame(rows, "k string, x long, n long")
+    order = F.col("x").desc() if descending else F.col("x").asc()
+    grouped, plain = (
+        running_totals(df, ["k"], [order], ["n"], F.floor(F.col("x") / 10), descending, coarse).select("k", "x", "n_upto", "n_all")
+        for coarse in (lambda b: F.floor(b / 7), None))
+    assert grouped.count() == 300 and grouped.exceptAll(plain).count() == 0
+
+
+def test_hot_label_is_ranked_in_groups_of_buckets(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN 1 WHEN id % 50 = 1 THEN NULL ELSE 0 END AS y")
+    split = prep.stratified_split(df, "y", "id", 0.2, 42, digits=5)
+    assert split.exceptAll(prep.stratified_split(df, "y", "id", 0.2, 42, digits=1)).count() == 0
+    # only the window over totals of groups is by the label alone
+    ranked = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "_group" in ranked and "_earlier__one" in ranked
+
+
 def test_quotas_share_the_rounded_up_total():
     assert prep.quotas({0: 40742 - 5342, 1: 5342}, 0.2) == {0: 8149 - 1068, 1: 1068}
 

@@ -8,7 +8,7 @@ to be a pure function of the row, so that a recomputed task puts every row back
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,6 +17,7 @@ from wardstone.functions.sqltext import name
 
 BUCKET = "_bucket"
 CELL = "_cell"
+GROUP = "_group"
 PER_PART = 250_000
 
 
@@ -27,10 +28,13 @@ def running_totals(
     values: Sequence[str],
     bucket: Column,
     descending: bool = False,
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add ``<v>_upto`` (sum of ``v`` up to and with this row) and ``<v>_all`` (sum over the key) for each value.
 
-    ``order`` must be unique within the key. ``descending`` says that the buckets run down along ``order``.
+    ``order`` must be unique within the key. ``descending`` says that the buckets run down along ``order``. Where a key
+    may have more buckets than a task should order, ``coarse`` makes groups of a bucket, which never decrease as it
+    grows: the groups' totals are ordered by one task a key, those of buckets by one task a group.
     NULL is a key like any other.
     """
     # One struct of key and bucket is the partitioning of the window and of the join, so rows move once; unlike its
@@ -41,14 +45,7 @@ def running_totals(
     totals = placed.groupBy(CELL).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     key = [F.col(f"{CELL}.{k}") for k in keys]
     place = F.col(f"{CELL}.{BUCKET}")
-    earlier = Window.partitionBy(*key).orderBy(place.desc() if descending else place.asc())
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*key)
-    offsets = totals.select(
-        CELL,
-        *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values],
-        *[F.sum(f"_t_{v}").over(whole).alias(f"{v}_all") for v in values],
-    )
+    offsets = _offsets(totals, key, place, values, descending, coarse)
 
     inside = Window.partitionBy(CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
@@ -59,11 +56,40 @@ def running_totals(
     )
 
 
+def _offsets(
+    totals: DataFrame, key: Sequence[Column], place: Column, values: Sequence[str], descending: bool,
+    coarse: Callable[[Column], Column] | None,
+) -> DataFrame:
+    """Per cell what the key's earlier buckets hold, and what it holds in all."""
+
+    def sums(df: DataFrame, by: Sequence[Column], at: Column, before: str, whole: str) -> DataFrame:
+        earlier = Window.partitionBy(*by).orderBy(at.desc() if descending else at.asc())
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            *[c for c in df.columns if not c.startswith("_t_")],
+            *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(before.format(v)) for v in values],
+            *[F.sum(f"_t_{v}").over(Window.partitionBy(*by)).alias(whole.format(v)) for v in values],
+        )
+
+    if coarse is None:
+        return sums(totals, key, place, "_before_{}", "{}_all")
+    fields = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)], coarse(place).alias("at"))
+    totals = totals.withColumn(GROUP, fields)
+    keys_of = [F.col(f"{GROUP}.k{i}") for i in range(len(key))]
+    groups = totals.groupBy(GROUP).agg(*[F.sum(f"_t_{v}").alias(f"_t_{v}") for v in values])
+    groups = sums(groups, keys_of, F.col(f"{GROUP}.at"), "_earlier_{}", "{}_all")
+    inside = sums(totals, [F.col(GROUP)], place, "_inside_{}", "_group_{}")
+    return inside.join(groups, GROUP).select(
+        CELL, *[(F.col(f"_inside_{v}") + F.col(f"_earlier_{v}")).alias(f"_before_{v}") for v in values],
+        *[f"{v}_all" for v in values])
+
+
 def ranked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, rank: str = "rank", size: str = "size"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, rank: str = "rank", size: str = "size",
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Row numbers within the key along ``order``, and the size of the key."""
-    out = running_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"], bucket)
+    out = running_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"], bucket, coarse=coarse)
     return out.select(*df.columns, F.col("_one_upto").alias(rank), F.col("_one_all").alias(size))
 
 

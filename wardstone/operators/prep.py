@@ -21,10 +21,12 @@ def shuffle_key(key: str, seed: int | str) -> Column:
 
 def _shuffled_rank(df: DataFrame, label: str, key: str, seed, digits: int) -> DataFrame:
     """Rank within the label in shuffled order. The leading hex digits of the hash are the buckets, so that a label
-    held by most rows is still ranked by many tasks."""
+    held by most rows is still ranked by many tasks. Of more than three digits, the last three number the buckets of a
+    group, so that no task orders all buckets of such a label either."""
     hashed = df.withColumn("_order", shuffle_key(key, seed))
     order = [F.col("_order").asc(), F.col(key).asc()]
-    return ranked(hashed, [label], order, F.substring("_order", 1, digits), "_rank", "_size").drop("_order")
+    coarse = (lambda bucket: F.substring(bucket, 1, digits - 3)) if digits > 3 else None
+    return ranked(hashed, [label], order, F.substring("_order", 1, digits), "_rank", "_size", coarse).drop("_order")
 
 
 def _digits(rows: int, per_bucket: int = 250_000) -> int:
