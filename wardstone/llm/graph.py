@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.session import cut_lineage
+from wardstone.session import cut_lineage, forget
 
 BITS = 1 << 20
 
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(
             low.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut_lineage(small)
+        last, edges = edges, cut_lineage(small)
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
