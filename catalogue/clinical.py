@@ -7,6 +7,7 @@ are multiples of small powers of two, so sums and means come out the same in any
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -186,13 +187,35 @@ def derived(tables: Tables, name: str) -> DataFrame:
     return tables.spark.sql(text)
 
 
+class Derived(Mapping):
+    """The derived tables as plans over the given ones: a query derives those it asks for, and only the columns and rows
+    it reads. Nothing is written: the copies of the event tables are many times larger than the given tables."""
+
+    def __init__(self, tables: Tables):
+        self.tables, self.made = tables, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            if name not in NAMES:
+                raise KeyError(name)
+            self.made[name] = derived(self.tables, name)
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(NAMES)
+
+    def __len__(self) -> int:
+        return len(NAMES)
+
+
 _written: dict[tuple, DataFrame] = {}
 
 
 def stored(tables: Tables, names=NAMES) -> dict[str, DataFrame]:
     """The derived tables, written to the shared folder the first time a session asks for them.
 
-    Hospital tables are stored tables: their scans prune columns and push filters, and their sizes are known.
+    Hospital tables are stored tables: their scans prune columns and push filters, and their sizes are known. For tests
+    of that; queries over the given tables use ``Derived``.
     """
     session = tables.spark.sparkContext.applicationId
     for name in names:

@@ -222,7 +222,7 @@ COHORT_SQL = f"{ALL}SELECT {', '.join(rules.COLUMNS)} FROM final WHERE is_first_
 
 @query("cohort_table", COHORT_SQL)
 def _cohort(t: Tables):
-    return plan.cohort_table(clinical.stored(t))
+    return plan.cohort_table(clinical.Derived(t))
 
 
 DESCRIBED = Options(incident_after=24, fanout="corrected", screened_only=True, drop_prevalent=True)
@@ -240,7 +240,7 @@ FROM final JOIN answered USING (stay_id)
 WHERE is_first_icu_stay = 1 AND age >= 18 AND cam_screened = 1 AND prevalent_cam_24h = 0""",
 )
 def _cohort_described(t: Tables):
-    return plan.cohort_table(clinical.stored(t), DESCRIBED).select(*_KEPT.split(", "))
+    return plan.cohort_table(clinical.Derived(t), DESCRIBED).select(*_KEPT.split(", "))
 
 
 @query(
@@ -258,12 +258,12 @@ UNION ALL SELECT 3, 'first stay', d, c - d FROM kept
 UNION ALL SELECT 4, 'adult', e, d - e FROM kept""",
 )
 def _attrition(t: Tables):
-    return plan.cohort_attrition(clinical.stored(t))
+    return plan.cohort_attrition(clinical.Derived(t))
 
 
 def family_query(name: str, sql: str, build):
     """A feature family on its own."""
-    query(name, sql)(lambda t: build(clinical.stored(t)))
+    query(name, sql)(lambda t: build(clinical.Derived(t)))
 
 
 def _with(*names: str) -> str:

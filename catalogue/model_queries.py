@@ -134,7 +134,7 @@ SHORT = modelling.Settings(
 
 
 def _cohort(t: Tables):
-    return cut_lineage(cohort_plan.cohort_table(clinical.stored(t)))
+    return cut_lineage(cohort_plan.cohort_table(clinical.Derived(t)))
 
 
 def _study(t: Tables, **options):
@@ -147,7 +147,7 @@ def _study(t: Tables, **options):
 def _risk(t: Tables):
     """The whole study on the cohort, then the frozen pipeline on all adult stays."""
     _, outcome = _study(t, masks=modelling.study_masks())
-    everyone = cohort_plan.cohort_table(clinical.stored(t), cohort_plan.Options(first_stay_only=False))
+    everyone = cohort_plan.cohort_table(clinical.Derived(t), cohort_plan.Options(first_stay_only=False))
     second = modelling.evaluate_second_cohort(outcome.model, everyone, rules.TARGET, "all adult stays")
     first = outcome.results["summary"]()
     return first.unionByName(second, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import Window, functions as F
 
-from catalogue import clinical
+from catalogue import all_queries, clinical
 from catalogue.registry import Tables
 from wardstone.operators import evaluate, prep
 from wardstone.operators.ordered import bucket_by_points, running_totals, split_points
@@ -223,3 +223,14 @@ def test_sequence_moves_rows_once_unless_an_entity_is_heavy(spark):
     split = entity_sequence(rows, "who", "at", ["id"], per_part=500)
     assert "Join" in split._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, split.collect())) == sorted(map(str, light.collect()))
+
+
+@pytest.mark.parametrize("name", ["item_labels", "lab_features"])
+def test_hospital_queries_write_no_copies_of_the_event_tables(spark, base, tmp_path, monkeypatch, name):
+    """Queries derive the tables they read; before, the first one wrote all eleven to the shared folder."""
+    given, shared = tmp_path / "given", tmp_path / "shared"
+    shared.mkdir()
+    given.symlink_to(base)
+    monkeypatch.setattr("wardstone.session.shared_folder", lambda _: str(shared))
+    assert all_queries()[name](spark, str(given)).count() > 0
+    assert not list(shared.iterdir())
