@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardstone.functions import sqltext
 
 
+# Bits of the array that stands for a set of keys: 8 MB.
+MARKS = 1 << 26
+
+
 def assemble(base: DataFrame, features: Sequence[DataFrame], key: str) -> DataFrame:
     """Left-join feature tables, each unique on ``key``, onto the base.
 
@@ -24,6 +28,22 @@ def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: sqltext.column(f"coalesce({sqltext.name(c)}, 0)") for c in columns})
 
 
+def likely_keys(df: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows whose ``key`` may be one of the ``n`` ``keys``: all that are, and few others. An inner join with few keys then
+    shuffles little. The keys' hashes are marked in an array of at most ``MARKS`` bits, which Spark computes once as a
+    scalar subquery; more keys only let more other rows through."""
+    bits = min(MARKS, max(1 << 10, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = keys.select(at.alias("at")).select(
+        F.shiftright("at", 6).alias("word"), sqltext.column("shiftleft(1L, CAST(at & 63 AS INT))", "bit"))
+    marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = df.sparkSession.range(bits >> 6).withColumnRenamed("id", "word").join(marks, "word", "left").agg(
+        F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    words = words.select(F.col("w.bits").alias("w"))
+    word = F.get(words.scalar(), F.shiftright(at, 6).cast("int"))
+    return df.where(F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
 def require_unique(df: DataFrame, key: str) -> DataFrame:
     """Raise if a key comes twice; one aggregation that stops at the first offender."""
     if df.groupBy(key).count().where(F.col("count") > 1).limit(1).count():
