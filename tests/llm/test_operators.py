@@ -395,3 +395,34 @@ def test_cells_send_on_fewer_links_than_components(words):
     assert len(links) == 19 and all(part[a] != part[b] for a, b in links)
     sides = [(a, b) for a, b in ngram_join.joining_links(node, part, node % 2, False, sets)]
     assert len(sides) == 19 and all(a % 2 != b % 2 for a, b in sides)
+
+
+def brute_links(rows):
+    """By row: other rows at Jaccard 0.75 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    linked = lambda x, y: bool(x) and 100 * len(x & y) >= 75 * len(x | y)
+    return Counter((i, len(s), sum(linked(s, o) for o in sets) - bool(s)) for (i, _), s in zip(rows, sets))
+
+
+@pytest.mark.parametrize("sizes", [(2048, 1 << 20, 512, 768, 4096), (8, 600, 30, 156, 50)])
+def test_ngram_join_counts_every_link(spark, monkeypatch, families, sizes):
+    for name, size in zip(("BLOCK", "WINDOWS", "PIECE", "LONG", "COLUMNS"), sizes):
+        monkeypatch.setattr(ngram_join, name, size)
+    want = brute_links(families)
+    docs = spark.createDataFrame(families, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.joined(docs).collect()) == want
+
+
+def test_word_hashes_take_little_memory():
+    import tracemalloc
+
+    data = np.frombuffer(b"abcd " * 800_000, np.uint8)
+    starts = np.arange(0, len(data), 5)
+    tracemalloc.start()
+    h = bytesops.word_hashes(data, starts, starts + 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(h.tolist())) == 1 and most < 40 << 20

@@ -17,7 +17,10 @@ R-tree, large cells in blocks of bounded size, and out comes a spanning forest o
 components. Its trees over all cells are families: every link that is still open lies inside one. The sets of a family
 meet once, in blocks, or in its cells where that moves fewer of them; there pairs are verified, and a link joins two
 components, so that a task sends on fewer links than it has components. So a group of thousands of near copies costs one
-comparison a copy and rows grow with members, not with pairs, yet no link between different components is lost.
+comparison a copy and rows grow with members, not with pairs, yet no link between different components is lost. Links
+inside components are counted afterwards, where that is asked for: the sets of a component meet once, in blocks, as
+matrices whose products are the sizes of all intersections. That work grows with the square of a component, memory with
+that of a block, and what is sent on with its members.
 
 Sets of more than ``LONG`` windows are another matter: points of 256 groups tell little of them, so their families would
 be large and their sets heavy. Their possible pairs leave the cells one by one, are bounded by points of 4,096 groups and
@@ -57,6 +60,8 @@ WINDOWS = 1 << 20
 LONG = 3 * GROUPS
 # Windows of a set that travel in one row.
 PIECE = 512
+# Windows whose holders are compared at a time when links are counted.
+COLUMNS = 4096
 
 
 def window_sets(texts: pa.Array, k: int = K):
@@ -108,10 +113,10 @@ def frequent_windows(docs: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarra
 
     # as few batches a task as Spark makes: each is cut to 512 texts above
     rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = rows.where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h = np.array([r["h"] for r in rows], np.int64).view(B.U)
+    rows = rows.where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h = rows["h"].to_numpy().view(B.U)
     order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return h[order], rows["n"].to_numpy()[order]
 
 
 def node_of(windows: np.ndarray) -> np.uint64:
@@ -377,6 +382,71 @@ def joining_links(node: np.ndarray, component: np.ndarray, own: np.ndarray, lone
             return
 
 
+def dealt_sets(members: DataFrame, blocks, sets: DataFrame, extra: str) -> DataFrame:
+    """The members (key, node, ``extra``) of cells with their sets, dealt by block pairs and sorted for ``met_sets``."""
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("windows") - 1) / PIECE).cast("int")),
+        lambda p: F.slice("windows", p * PIECE + 1, F.lit(PIECE)))
+    cut = sets.select("node", F.posexplode(pieces).alias("piece", "windows"))
+    dealt = in_blocks(members, blocks).select("key", "i", "j", "own", "node", extra).join(cut, "node")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node", "piece")
+
+
+def met_sets(c: pa.Table, extra: str):
+    """node, ``extra``, own (one entry a member), whether the block meets itself, and the members' sets of one cell."""
+    starts = np.concatenate([[0], _changes(c, ("node",))])
+    node, more, own, i, j = (c.column(k).to_numpy()[starts] for k in ("node", extra, "own", "i", "j"))
+    flat = c.column("windows").combine_chunks()
+    flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat)
+    ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
+    windows = flat.flatten().to_numpy().view(B.U)
+    edge = np.append(ends[starts], len(windows))
+    return node, more, own, i[0] == j[0], [windows[x:y] for x, y in zip(edge, edge[1:])]
+
+
+def linked_rows(sets: list[np.ndarray], rows: np.ndarray, own: np.ndarray, lone: bool) -> np.ndarray:
+    """Per set the sum of ``rows`` of the sets it links with: those of the other side, or all others if ``lone``."""
+    n = np.array([len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    of, column = np.repeat(np.arange(len(n)), n)[shared], (np.cumsum(times > 1) - 1)[number[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(n), len(n)), np.int64)
+    for lo in range(0, int((times > 1).sum()), COLUMNS):
+        a, z = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(n), COLUMNS if z < len(column) else int(column[-1]) - lo + 1), np.float32)
+        part[of[a:z], column[a:z] - lo] = 1
+        both += (part @ part.T).astype(np.int64)
+    link = 100 * both >= 75 * (n[:, None] + n - both)
+    link &= ~np.eye(len(n), dtype=bool) if lone else own[:, None] != own
+    return link @ rows
+
+
+def link_counts(parts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n_links: the rows with other sets that the node's set links with. Links lie inside components, so each pair
+    of nodes of a component (parts: node, component) meets in one block pair, whose tasks send on one count a member."""
+    placed = parts.join(nodes, "node").select(F.col("component").alias("key"), "node", "n", "rows", "rep")
+    placed = cut_lineage(placed)
+    sets = cut_lineage(sets_of(docs, placed.select(F.col("rep").alias("doc_id"), "node")))
+    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(WINDOWS // 4)), F.ceil(F.count("*") / F.lit(BLOCK // 4)))
+
+    def count(batches):
+        for t, edges in whole_cells(batches):
+            found, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, z in zip(edges, edges[1:]):
+                node, rows, own, lone, sets_ = met_sets(t.slice(a, z - a), "rows")
+                if len(node) > 1:
+                    found.append(node)
+                    links.append(linked_rows(sets_, rows, own, lone))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(found)), "n_links": pa.array(np.concatenate(links))})
+
+    counted = dealt_sets(placed, blocks, sets, "rows").mapInArrow(count, "node long, n_links long")
+    out = cut_lineage(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    forget(placed, sets)
+    return out
+
+
 def links_across(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: links that join the different components of each cell. members: key, node, n, component, point."""
     possible = cut_lineage(possible_links(members))
@@ -397,45 +467,31 @@ def links_across(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     met = cut_lineage(met)
     forget(placed, whole)
     wanted = family.select("node").join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("windows") - 1) / PIECE).cast("int")),
-        lambda p: F.slice("windows", p * PIECE + 1, F.lit(PIECE)))
     sets = cut_lineage(sets_of(docs, wanted))
-    cut = sets.select("node", F.posexplode(pieces).alias("piece", "windows"))
 
     def verify(batches):
         for t, edges in whole_cells(batches):
             found = []
             for a, z in zip(edges, edges[1:]):
-                c = t.slice(a, z - a)
-                starts = np.concatenate([[0], _changes(c, ("node",))])
-                node, comp, own, i, j = (c.column(k).to_numpy()[starts] for k in ("node", "component", "own", "i", "j"))
+                node, comp, own, lone, sets_ = met_sets(t.slice(a, z - a), "component")
                 if len(node) < 2:
                     continue
-                flat = c.column("windows").combine_chunks()
-                flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat)
-                ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
-                windows = flat.flatten().to_numpy().view(B.U)
-                edge = np.append(ends[starts], len(windows))
-                sets_ = [windows[x:y] for x, y in zip(edge, edge[1:])]
-                found.extend(joining_links(node, comp, own, i[0] == j[0], sets_))
+                found.extend(joining_links(node, comp, own, lone, sets_))
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    dealt = in_blocks(met, blocks).select("key", "i", "j", "own", "node", "component").join(cut, "node")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node", "piece")
-    found = dealt.mapInArrow(verify, "a long, b long")
+    found = dealt_sets(met, blocks, sets, "component").mapInArrow(verify, "a long, b long")
     links = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     forget(family, met, sets)
     return links
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: links of the row's set that were needed to find its component."""
+def joined(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if ``counted``, n_links: all other rows that the row links with."""
     docs = docs.select("doc_id", "text")
     signed = cut_lineage(signatures(docs, frequent_windows(docs)))
     nodes = cut_lineage(signed.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")))
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("rows")))
     posted = signed.where("n > 0").select(F.explode("first").alias("key"), "node")
     shared = posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
     members = cut_lineage(posted.join(shared, "key"))
@@ -456,21 +512,23 @@ def joined(docs: DataFrame) -> DataFrame:
     third = links_among(long_pairs(open_), docs, nodes)
     forget(open_)
     links = first.union(second).union(third)
-    parts = components(links)
+    parts = cut_lineage(components(links))
     named = parts.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    parts = parts.join(named, "component").select("node", "component_id")
-    n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = nodes.select("node", "rep").join(parts, "node", "left").join(n_links, "node", "left").select(
-        "node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_node = nodes.select("node", "rep", "rows").join(parts.join(named, "component"), "node", "left")
+    columns = [F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if counted:
+        of_node = of_node.join(link_counts(parts, docs, nodes), "node", "left")
+        # rows of the same set link as well
+        columns.append(F.coalesce(F.col("rows") - 1 + F.coalesce("n_links", F.lit(0)), F.lit(0)).alias("n_links"))
+    of_node = of_node.withColumn("component_id", F.coalesce("component_id", "rep"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", *columns)
 
 
 @any_names
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest id; documents without id stay. Of rows with the same id, one."""
-    kept = joined(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = joined(docs, counted=False).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     found = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     return found.withColumn("_nth", nth).where("_nth = 1").drop("_nth").union(docs.where("doc_id IS NULL"))
