@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardstone.llm import byte_bpe, line_rules, line_windows, ngram_join, queries, rake
-from wardstone.session import cut_lineage, tune
+from wardstone.session import cut_lineage, forget, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        last, docs = docs, cut_lineage(stage(spark, docs, sf_dir))
+        forget(last)
     return STAGES[-1][1](spark, docs, sf_dir)

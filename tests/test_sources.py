@@ -1,4 +1,5 @@
 import os
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def test_forgotten_tables_are_deleted_and_others_stay(spark, tmp_path):
     assert (kept.count(), own.count(), out.count()) == (5, 3, 5)
 
 
+def test_shuffle_files_of_a_written_table_go_at_once(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {str(x) for x in (f.getName() for f in _java_list(folder.getAllFiles())) if str(x).startswith("shuffle_")}
+
+    before = files()
+    out = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _java_list(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def test_column_helpers(spark):
     df = spark.createDataFrame([(1, 2, 3)], "race_coded int, Ethnic int, age int")
     assert profile.find_columns(df, ["RACE", "ethnic"]) == ["race_coded", "Ethnic"]

@@ -136,10 +136,11 @@ def report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, without their failed lines; ``n_chars`` follows the text where it is a column."""
     r = F.col("_rules")
+    text = F.when(r["kept"], r["cleaned"]).alias("text")
     # written first: a filter on the verdict would be pushed below the arrays, which were then built again for every word
-    out = cut_lineage(measure(docs, rules)).where(r["kept"])
-    new = {"text": r["cleaned"]} | ({"n_chars": F.length(r["cleaned"]).cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    out = measure(docs, rules).select(*(text if c == "text" else F.col(c) for c in docs.columns), r["kept"].alias("_kept"))
+    out = cut_lineage(out).where("_kept").drop("_kept")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def sql(rules: Rules = Rules(), source: str = "documents") -> str:
