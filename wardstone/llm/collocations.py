@@ -229,14 +229,15 @@ class Level:
         level = self
 
         def count(batches):
-            sums = [np.zeros(len(t.value[1]), np.int64) for t in level.tries]
+            sums = [np.zeros(len(t.value[2]), np.int64) for t in level.tries]
             for batch in batches:
                 for ids in arrays(batch):
                     for i, t in enumerate(level.tries):
-                        base, check, _ = t.value
-                        sums[i] += np.bincount(advanced(base, check, ids, level.k, level.digits)[1], minlength=len(check))
-            for i, t in enumerate(level.tries):
-                n = sums[i][t.value[2]]
+                        base, check, accepting = t.value
+                        states = advanced(base, check, ids, level.k, level.digits)[1]
+                        place = np.minimum(np.searchsorted(accepting, states), len(accepting) - 1)
+                        sums[i] += np.bincount(place[accepting[place] == states], minlength=len(accepting))
+            for i, n in enumerate(sums):
                 for b in range(0, len(n), BLOCK):
                     yield pa.RecordBatch.from_pydict({"shard": [i], "block": [b], "n": pa.array([n[b : b + BLOCK].tobytes()], pa.binary())})
 
