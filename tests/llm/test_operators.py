@@ -426,3 +426,13 @@ def test_word_hashes_take_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(h.tolist())) == 1 and most < 40 << 20
+
+
+def test_quality_rules_write_kept_texts_only(spark, base):
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    out = line_rules.keep_clean(docs)
+    written = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    texts = [c for c, kind in written.dtypes if kind == "string"]
+    assert len(written.columns) == len(docs.columns) + 1 and len(texts) == len([c for c, k in docs.dtypes if k == "string"])
+    assert written.where("NOT _kept").count() == docs.count() - out.count() > 0
+    assert written.where("NOT _kept").where(F.coalesce(*(F.col(c) for c in written.columns if c.endswith("text"))).isNotNull()).count() == 0
