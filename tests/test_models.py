@@ -8,10 +8,11 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalogue import model_queries
+from catalogue import clinical, model_queries
 from catalogue.registry import Tables
 from wardstone.operators import ensemble, evaluate, explain, isotonic, models, prep
-from wardstone.plans import modelling
+from wardstone.plans import cohort, modelling
+from wardstone.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +178,44 @@ def test_study_end_to_end(spark, tmp_path):
     again = modelling.evaluate_second_cohort(out.model, docs.drop("src1"), "label", "all").collect()
     assert {r.model for r in again} == {"lr", "boosted"}
     assert modelling.evaluate_second_cohort(out.model, None, "label", "absent") is None
+
+
+def test_another_cohort_is_scored_on_chosen_features_only(spark, tmp_path, monkeypatch):
+    """Features that no model reads are not computed, and the vectors of the others stay as they were."""
+    names = ["a", "b", "c"]
+    numbers = {n: float(i) for i, n in enumerate(names, 1)}
+    fitted = prep.Prep(["a", "c"], ["b"], numbers, numbers, numbers)
+    spark.sql("SELECT 7 AS id, 5D AS a, CAST(NULL AS DOUBLE) AS b, 9D AS c").write.parquet(f"{tmp_path}/rows")
+    model = modelling.RiskModel("id", names, fitted, ["c", "b"], None, None, None)
+    monkeypatch.setattr(modelling.RiskModel, "score_matrix", lambda self, matrix, keep: matrix)
+    out, lacking = model.score(spark.read.parquet(f"{tmp_path}/rows"), ["id"])
+    row = out.first()
+    assert list(row.chosen_scaled) == [(9 - 3) / 3, 0.0] and list(row.chosen_raw) == [9.0, 2.0] and not lacking
+    read = out._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "b:double" in read and "c:double" in read and "a:double" not in read
+
+
+def test_moments_of_many_columns_are_no_wide_aggregate(spark):
+    wide = spark.range(500).selectExpr("id", *[f"CAST((id * {k + 7}) % 101 AS DOUBLE) AS c{k}" for k in range(100)])
+
+    class Seen:
+        def agg(self, *functions):
+            raise AssertionError(f"{len(functions)} functions in one aggregate")
+
+        def __getattr__(self, name):
+            return getattr(wide, name)
+
+    names = [c for c in wide.columns if c != "id"]
+    fitted = prep.fit_prep(Seen(), [], names)
+    values = [(i * 10) % 101 for i in range(500)]
+    assert fitted.means["c3"] == pytest.approx(sum(values) / 500)
+    assert fitted.sds["c3"] == pytest.approx((sum(v * v for v in values) / 500 - (sum(values) / 500) ** 2) ** 0.5)
+    assert prep.fit_prep(wide.where("id < 0"), ["c0"], ["c1"]).means == {"c0": None, "c1": None}
+
+
+def test_the_cohort_is_the_first_stays_of_all(spark, base):
+    tables = Tables(spark, base)
+    first = cohort.cohort_table(clinical.Derived(tables))
+    everyone = cohort.cohort_table(clinical.Derived(tables), cohort.Options(first_stay_only=False))
+    first, same = cut_lineage(first), cut_lineage(everyone.where("is_first_icu_stay = 1"))
+    assert first.count() == same.count() > 0 and first.exceptAll(same).count() == 0
