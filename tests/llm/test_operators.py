@@ -436,3 +436,13 @@ def test_quality_rules_write_kept_texts_only(spark, base):
     assert len(written.columns) == len(docs.columns) + 1 and len(texts) == len([c for c, k in docs.dtypes if k == "string"])
     assert written.where("NOT _kept").count() == docs.count() - out.count() > 0
     assert written.where("NOT _kept").where(F.coalesce(*(F.col(c) for c in written.columns if c.endswith("text"))).isNotNull()).count() == 0
+
+
+def test_ngram_join_moves_prefix_windows_once(spark):
+    """One exchange finds the hub of every window that several nodes have; windows of one node stay behind."""
+    signed = spark.createDataFrame(
+        [(2, 20, [1, 7]), (2, 10, [7, 3]), (2, 10, [7, 3]), (0, 5, [7]), (1, 30, [4])], "n long, node long, first array<long>")
+    hubs = ngram_join.with_hub(signed)
+    plan = hubs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert Counter(map(tuple, hubs.collect())) == Counter({(7, 20, 10): 1, (7, 10, 10): 2})

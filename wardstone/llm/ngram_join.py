@@ -486,15 +486,22 @@ def links_across(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     return links
 
 
+def with_hub(signed: DataFrame) -> DataFrame:
+    """key, node, hub: the nodes of each prefix window that several nodes have, and the smallest of them. Most windows have
+    one node only; a window function moves them once, counts that are joined back would move them twice."""
+    posted = signed.where("n > 0").select(F.explode("first").alias("key"), "node")
+    cell = Window.partitionBy("key")
+    hubs = posted.select("key", "node", F.min("node").over(cell).alias("hub"), F.max("node").over(cell).alias("last"))
+    return hubs.where("hub <> last").drop("last")
+
+
 def joined(docs: DataFrame, counted: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and, if ``counted``, n_links: all other rows that the row links with."""
     docs = docs.select("doc_id", "text")
     signed = cut_lineage(signatures(docs, frequent_windows(docs)))
     nodes = cut_lineage(signed.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("rows")))
-    posted = signed.where("n > 0").select(F.explode("first").alias("key"), "node")
-    shared = posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    members = cut_lineage(posted.join(shared, "key"))
+    members = cut_lineage(with_hub(signed))
     rows = cut_lineage(signed.select("doc_id", "n", "node"))
     forget(signed)
     first = links_among(
