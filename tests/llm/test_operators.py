@@ -446,3 +446,11 @@ def test_ngram_join_moves_prefix_windows_once(spark):
     plan = hubs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert Counter(map(tuple, hubs.collect())) == Counter({(7, 20, 10): 1, (7, 10, 10): 2})
+
+
+def test_compact_windows_of_several_nodes_move_once(spark):
+    posted = spark.createDataFrame([(1, 7, 0), (2, 7, 0), (2, 7, 5), (2, 8, 0), (2, 8, 9)], "node long, key long, l int")
+    kept = compact_windows.of_two(posted)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(tuple, kept.collect())) == [(1, 7, 0), (2, 7, 0), (2, 7, 5)]
