@@ -202,6 +202,16 @@ def test_bpe_matches_a_plain_encoder(spark, base, odd):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_plans_do_not_hold_the_ranks(spark):
+    import public_tokenizers as P
+
+    ranks = byte_bpe.read_ranks(P.path(queries.RANK_FILE))
+    words = ["the", " international", "zqzqzq", "\U0001f600", "a", "'", "x" * 70]
+    folded = byte_bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), byte_bpe.rank_table(spark, ranks))
+    assert len(folded._jdf.queryExecution().toString()) < 100_000  # a literal of 50,000 pieces has over a million signs
+    assert dict(folded.collect()) == {w: byte_bpe.merged(w.encode(), dict(ranks)) for w in words}
+
+
 def test_classifier_learns_and_generalises(spark):
     base = "/root/testdata/sf0.01"
     out = queries.QUERIES["op2_attention_mil"](spark, base)

@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by the ranks of a public vocabulary.
 
 The merges are folded with Spark's higher-order functions over arrays of byte pieces of distinct words: the ranks are one
-literal, an array of maps in which a piece is found by its hash (Spark looks keys up one after another, so one map of
-50,000 entries would be walked through for every pair). This encodes the ``COMMON`` words that are most frequent in the
-whole corpus. Joining the ids of all distinct words back to all places of a corpus would shuffle every token; instead the
+row of a table, an array of maps in which a piece is found by its hash (Spark looks keys up one after another, so one map
+of 50,000 entries would be walked through for every pair). The row is joined to groups of words; as a literal it would be
+copied into every plan, task and description of a plan on the driver. This encodes the ``COMMON`` words that are most
+frequent in the whole corpus. Joining the ids of all distinct words back to all places of a corpus would shuffle every token; instead the
 common words' ids are sent to the tasks (their number is a parameter, so the size is bounded) and rarer words are folded
 by the same rule in the task that meets them. Both give the same ids for a word, so which words are common only matters
 for speed. Decoding concatenates the pieces of the ids.
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.session import cut_lineage
+from wardstone.session import cut_lineage, forget
 
 COMMON = 50_000
 BUCKETS = 8192
+GROUPS = 64
 # At most so many rare words are remembered in a task.
 REMEMBERED = 400_000
 
@@ -39,15 +41,16 @@ def read_ranks(path: str) -> tuple[tuple[bytes, int], ...]:
         return tuple((base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip()))
 
 
-def rank_literal(ranks) -> Column:
-    """array<map<hex piece, rank>>, folded to one literal by the optimizer; the bucket of a piece is its crc32."""
+def rank_table(spark, ranks) -> DataFrame:
+    """_ranks, array<map<hex piece, rank>>: one row in the shared folder; the bucket of a piece is its crc32."""
     import zlib
 
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks:
         hexed = piece.hex().upper()
         buckets[zlib.crc32(hexed.encode()) % BUCKETS][hexed] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    row = pa.array([[list(b.items()) for b in buckets]], pa.list_(pa.map_(pa.string(), pa.int32())))
+    return cut_lineage(spark.createDataFrame(pa.table({"_ranks": row})))
 
 
 def rank_of(table: Column, hexed: Column) -> Column:
@@ -94,11 +97,13 @@ def common_words(docs: DataFrame, pattern: str, most: int, text: str = "text") -
     return counted.where(F.col("height") >= lowest).select("word")
 
 
-def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """word, ids: the fold on every word."""
-    table = F.col("_ranks")
-    one = words.withColumn("_ranks", rank_literal(ranks))
-    return one.select("word", fold_merges(F.col("word"), table).alias("ids"))
+def encode_words(words: DataFrame, table: DataFrame) -> DataFrame:
+    """word, ids: the fold on every word, in ``GROUPS`` groups, so that the ranks are copied to a group and not to a word."""
+    part = F.pmod(F.xxhash64("word"), F.lit(GROUPS)).alias("part")
+    groups = words.groupBy(part).agg(F.collect_list("word").alias("words"))
+    one = groups.crossJoin(F.broadcast(table))  # one row, of the vocabulary's size
+    folded = F.transform("words", lambda w: F.struct(w.alias("word"), fold_merges(w, F.col("_ranks")).alias("ids")))
+    return one.select(F.inline(folded))
 
 
 class Words(dict):
@@ -168,8 +173,10 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def known_words(docs: DataFrame, ranks, pattern: str, common: int = COMMON) -> dict[str, bytes]:
     """Ids of the common words, at most ``common`` of them."""
-    rows = encode_words(common_words(docs, pattern, common), ranks).collect()
-    return {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in rows}
+    table = rank_table(docs.sparkSession, ranks)
+    rows = encode_words(common_words(docs, pattern, common), table).toArrow()
+    forget(table)
+    return {w: np.asarray(ids, "<u4").tobytes() for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist())}
 
 
 def with_ids(docs: DataFrame, rank_file: str, pattern: str, common: int = COMMON) -> DataFrame:
