@@ -464,3 +464,26 @@ def test_compact_windows_of_several_nodes_move_once(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert sorted(map(tuple, kept.collect())) == [(1, 7, 0), (2, 7, 0), (2, 7, 5)]
+
+
+def test_dense_rows_lose_no_passage():
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(60):
+        a = rng.integers(0, 2**40, int(rng.integers(40, 300))).astype(np.uint64)
+        b = np.concatenate([rng.integers(0, 2**40, int(rng.integers(0, 200))).astype(np.uint64), a])
+        b = np.where(rng.random(len(b)) < rng.choice([0.05, 0.15, 0.4]), rng.integers(0, 2**40, len(b)).astype(np.uint64), b)
+        if list(compact_windows.passages(a, b)):
+            seen += 1
+            assert compact_windows.dense(a, np.sort(b)) and compact_windows.dense(b, np.sort(a))
+    assert seen > 10
+    assert not compact_windows.dense(a, np.sort(rng.integers(0, 2**40, 300).astype(np.uint64)))
+
+
+def test_copies_of_a_task_have_windows_once(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(None, text)] + [(i, text.upper()) for i in range(30)] + [(99, "short text")], "doc_id long, text string")
+    scanned = compact_windows.scan(docs.coalesce(1))
+    assert scanned.where("size(windows) > 0").count() == 1 and scanned.where("n_words = 80").count() == 31
+    rows = compact_windows.near_passages(docs.coalesce(1)).collect()
+    assert len(rows) == 31 and {r.other_doc_id for r in rows} == {0, 29}
