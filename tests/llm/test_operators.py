@@ -487,3 +487,13 @@ def test_copies_of_a_task_have_windows_once(spark):
     assert scanned.where("size(windows) > 0").count() == 1 and scanned.where("n_words = 80").count() == 31
     rows = compact_windows.near_passages(docs.coalesce(1)).collect()
     assert len(rows) == 31 and {r.other_doc_id for r in rows} == {0, 29}
+
+
+def test_only_pairs_with_dense_codes_leave(spark):
+    rng = np.random.default_rng(6)
+    a, b, long = (rng.integers(0, 2**16, n).astype("<u2") for n in (400, 400, 1500))
+    b[::6] = a[: len(b[::6])]  # 67 codes in common, nowhere dense
+    long[900:960] = a[100:160]
+    members = spark.createDataFrame([(1, n, n) for n in (1, 2, 3)], "cell long, node long, label long")
+    codes = spark.createDataFrame([(n, bytearray(c.tobytes())) for n, c in ((1, a), (2, b), (3, long))], "node long, codes binary")
+    assert [tuple(r) for r in compact_windows.pairs_apart(members, codes).collect()] == [(1, 3)]
