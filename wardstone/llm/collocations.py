@@ -6,12 +6,13 @@ rare words and ends of pieces (no frequent phrase holds a rare word). For 2, 3 a
 1. windows whose two shorter windows are frequent phrases (Apriori) are counted by a hash into buckets, several to an
    expected window, so that a bucket's count is never below that of a phrase in it;
 2. distinct windows in buckets of enough rows are the candidates;
-3. candidates are cut into shards of at most ``SHARD``; each shard becomes a double-array trie over the bytes of word
-   numbers and is broadcast. A task advances the states of all positions of a stored array at once, one level after the
-   other, drops those that fell out and counts accepting states with ``bincount``; Spark sums the counts.
+3. candidates are dealt by a hash to shards of at most ``TRIE``; a task makes each shard a double-array trie over the bytes
+   of word numbers, which is broadcast. A position's window belongs to one shard. A task advances the states of all
+   positions of a stored array that belong to a shard at once, one level after the other, drops those that fell out and
+   counts accepting states with ``bincount``; Spark sums the counts.
 
-Every broadcast holds at most ``SHARD`` entries however large the corpus is: there are more of them, one after the
-other. Phrases, their cuts and the phrases inside longer ones are then matched by joins.
+Every broadcast holds at most ``SHARD`` entries however large the corpus is: there are more of them, and a position looks
+into one. Phrases, their cuts and the phrases inside longer ones are then matched by joins.
 
 A null text is empty, a null lang is ``und``; texts may be as long as a Spark string. Other columns, whatever their names,
 play no part. Repeated rows count as often as they occur; an empty table has no phrases. Words are looked up by a 64-bit
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wardstone.llm.bytesops import BASE, LOWER, U, buffer_of, mix, word_bounds, word_hashes
-from wardstone.session import cut_lineage
+from wardstone.session import cut_lineage, forget
 
 SHARD = 1 << 18
+TRIE = 1 << 15
 BLOCK = 1 << 13
 LONGEST = 4
 STOPS = np.zeros(256, bool)
@@ -84,10 +86,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def in_shards(df: DataFrame, rows: int, by: str) -> Iterator[pa.Table]:
-    """The rows in parts of about ``SHARD`` at most, by a hash that spreads them evenly."""
+    """The rows in parts of about ``SHARD`` at most, by a column of hashes; ``dealt`` says which part has a hash."""
     parts = -(-2 * rows // SHARD)
     for i in range(parts):
-        yield df.where(f"pmod(xxhash64({by}), {parts}) = {i}").toArrow()
+        yield df.where(f"pmod({by}, {parts}) = {i}").toArrow()
+
+
+def dealt(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The numbers of the parts that have some of the hashes (int64), with their places."""
+    if parts == 1:
+        yield 0, np.arange(len(hashes))
+    elif parts:
+        part = (hashes % parts).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            yield i, order[edges[i] : edges[i + 1]]
 
 
 def number_words(spark: SparkSession, words: DataFrame) -> DataFrame:
@@ -111,10 +125,11 @@ def stored(spark: SparkSession, docs: DataFrame, words: DataFrame) -> DataFrame:
         for batch in slices(batches):
             hashes, _, _, _, last, _, _ = read_words(batch)
             ids = np.full(len(hashes), -1, np.int32)
-            for t in tables:
-                keys, numbers = t.value
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                ids = np.where(keys[at] == hashes, numbers[at], ids)
+            for i, places in dealt(hashes.view(np.int64), len(tables)):
+                keys, numbers = tables[i].value
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, hashes[places]), len(keys) - 1)
+                    ids[places] = np.where(keys[at] == hashes[places], numbers[at], -1)
             out = np.full(2 * len(ids), -1, np.int32)
             out[::2] = ids
             wanted = np.ones(len(out), bool)
@@ -184,16 +199,20 @@ def double_array(phrases: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarr
     return base[:used], check[:used], accepting
 
 
-def advanced(base, check, ids: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose k numbers are a path of the trie, and the states they end in."""
-    at = np.flatnonzero(ids >= 0)
-    at = at[at <= len(ids) - k]
+def whole_windows(ids: np.ndarray, k: int) -> np.ndarray:
+    """Places where k frequent words follow each other."""
+    if len(ids) < k:
+        return np.zeros(0, np.int64)
+    good = ids >= 0
+    return np.flatnonzero(np.logical_and.reduce([good[j : len(ids) - k + 1 + j] for j in range(k)]))
+
+
+def advanced(base, check, ids: np.ndarray, k: int, digits: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, of all or of those given, whose k numbers are a path of the trie, and the states they end in."""
+    at = whole_windows(ids, k) if at is None else at
     state = np.zeros(len(at), np.int32)
     for word in range(k):
         number = ids[at + word]
-        if word:
-            live = number >= 0
-            at, state, number = at[live], state[live], number[live]
         for d in range(digits - 1, -1, -1):
             to = base[state] + ((number >> (8 * d)) & 255)
             live = (to >= 0) & (to < len(check))
@@ -207,20 +226,65 @@ class Level:
 
     def __init__(self, spark: SparkSession, found: DataFrame, k: int, digits: int):
         self.k, self.digits, self.tries, self.rows, self.good = k, digits, [], [], []
-        for part in in_shards(found, found.count(), "ids"):
-            rows = part["ids"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+        parts = -(-2 * found.count() // TRIE)
+
+        def mark(batches):
+            for batch in batches:
+                flat = batch.column("ids").flatten().to_numpy()
+                hashes = buckets_of(flat, np.arange(0, len(flat), k), k, 63)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes % parts), batch.column("ids")], ["shard", "ids"])
+
+        def trie(shard, rows):
             base, check, accepting = double_array(rows, digits)
             order = np.argsort(accepting)
-            self.tries.append(spark.sparkContext.broadcast((base, check, accepting[order])))
-            self.rows.append(spark.sparkContext.broadcast(rows[order]))
+            made = [x.astype(np.int32).tobytes() for x in (base, check, accepting[order], rows[order])]
+            return pa.RecordBatch.from_pydict({"shard": [shard]} | {n: pa.array([x], pa.binary()) for n, x in zip(names, made)})
+
+        def build(batches):
+            now, rows = None, []
+            for batch in batches:
+                shards = batch.column("shard").to_numpy()
+                of = batch.column("ids").flatten().to_numpy().reshape(-1, k)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    if i < j and shards[i] != now:
+                        if rows:
+                            yield trie(now, np.concatenate(rows))
+                        now, rows = int(shards[i]), []
+                    rows.append(of[i:j])
+            if now is not None:
+                yield trie(now, np.concatenate(rows))
+
+        names = ["base", "check", "accepting", "rows"]
+        if parts:
+            marked = found.mapInArrow(mark, "shard long, ids array<int>").repartition(parts, "shard").sortWithinPartitions("shard")
+            built = cut_lineage(marked.mapInArrow(build, "shard long, base binary, check binary, accepting binary, rows binary"))
+            for i in range(parts):  # one at a time: the driver holds a single trie
+                one = built.where(F.col("shard") == i).toArrow()
+                base, check, accepting, rows = (
+                    np.frombuffer(one[n][0].as_py(), np.int32) if one.num_rows else np.full(n == "check", -1, np.int32) for n in names)
+                if not one.num_rows:
+                    base = np.zeros(1, np.int32)
+                self.tries.append(spark.sparkContext.broadcast((base, check, accepting)))
+                self.rows.append(spark.sparkContext.broadcast(rows.reshape(-1, k)))
+            forget(built)
+
+    def accepted(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Trie, positions whose windows it holds, and their places among its candidates."""
+        at = whole_windows(ids, self.k)
+        for i, own in dealt(buckets_of(ids, at, self.k, 63), len(self.tries)):
+            base, check, accepting = self.tries[i].value
+            if len(accepting):
+                here, states = advanced(base, check, ids, self.k, self.digits, at[own])
+                place = np.minimum(np.searchsorted(accepting, states), len(accepting) - 1)
+                held = accepting[place] == states
+                yield i, here[held], place[held]
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         """Whether a phrase of the level begins at each place."""
         out = np.zeros(len(ids), bool)
-        for t, good in zip(self.tries, self.good):
-            base, check, accepting = t.value
-            at, states = advanced(base, check, ids, self.k, self.digits)
-            out[at[good.value[np.searchsorted(accepting, states)]]] = True
+        for i, at, place in self.accepted(ids):
+            out[at[self.good[i].value[place]]] = True
         return out
 
     def counted(self, texts: DataFrame) -> DataFrame:
@@ -232,13 +296,11 @@ class Level:
             sums = [np.zeros(len(t.value[2]), np.int64) for t in level.tries]
             for batch in batches:
                 for ids in arrays(batch):
-                    for i, t in enumerate(level.tries):
-                        base, check, accepting = t.value
-                        states = advanced(base, check, ids, level.k, level.digits)[1]
-                        place = np.minimum(np.searchsorted(accepting, states), len(accepting) - 1)
-                        sums[i] += np.bincount(place[accepting[place] == states], minlength=len(accepting))
+                    for i, _, place in level.accepted(ids):
+                        sums[i] += np.bincount(place, minlength=len(sums[i]))
             for i, n in enumerate(sums):
-                for b in range(0, len(n), BLOCK):
+                for b in np.flatnonzero(np.logical_or.reduceat(n > 0, np.arange(0, len(n), BLOCK))).tolist() if len(n) else ():
+                    b *= BLOCK
                     yield pa.RecordBatch.from_pydict({"shard": [i], "block": [b], "n": pa.array([n[b : b + BLOCK].tobytes()], pa.binary())})
 
         def add(batches):
@@ -328,9 +390,11 @@ def candidates(spark: SparkSession, texts: DataFrame, k: int, least: int, level:
                 at = safe(ids, k, level)
                 bucket = buckets_of(ids, at, k, bits)
                 live = np.zeros(len(at), bool)
-                for w in wanted:
-                    i = np.minimum(np.searchsorted(w.value, bucket), len(w.value) - 1)
-                    live |= w.value[i] == bucket
+                for i, own in dealt(bucket, len(wanted)):
+                    full_ones = wanted[i].value
+                    if len(full_ones):
+                        place = np.minimum(np.searchsorted(full_ones, bucket[own]), len(full_ones) - 1)
+                        live[own] = full_ones[place] == bucket[own]
                 at = at[live]
                 rows = np.unique(np.stack([ids[at + j] for j in range(k)], 1), axis=0) if len(at) else np.zeros((0, k), np.int32)
                 flat = pa.array(rows.ravel(), pa.int32())
